@@ -143,7 +143,7 @@ def eigenvector_centrality(spark, sf_dir):
       UNION SELECT w.origin, e.dst, w.d + 1 FROM walk w JOIN edges e ON e.src = w.id
       WHERE w.d < 16),
     near AS (SELECT origin, id, min(d) AS d FROM walk GROUP BY origin, id)
-    SELECT id, CAST(sum(d) AS BIGINT) AS farness, count(*) AS reached,
+    SELECT id, CAST(sum(d) AS BIGINT) AS farness, count(*) - 1 AS reached,
            round(1.0 / sum(d), 9) AS closeness FROM near GROUP BY id"""))
 def closeness(spark, sf_dir):
     scores = metrics.closeness(main_links(spark, sf_dir))
