@@ -9,15 +9,26 @@ from citegraph import fixed_values as fixed
 from citegraph.functions.stem import stem_vocabulary
 from citegraph.functions.text import strip_before_filter, strip_punctuation, words
 from citegraph.operators.relational import top_with_ties
+from citegraph.scratch import Scratch
 
 
 def clean_text(df: DataFrame, col: str, drop_containing=fixed.DROP_CONTAINING,
                replace=fixed.WORD_REPLACEMENTS) -> DataFrame:
-    """Cleaned, lower-case text; rows without usable text are dropped."""
-    cleaned = df.withColumn(col, strip_before_filter(col)).where(F.col(col).isNotNull())
-    for text in drop_containing:
-        cleaned = cleaned.where(~F.contains(F.col(col), F.lit(text)))
-    return cleaned.withColumn(col, strip_punctuation(F.col(col), replace))
+    """Cleaned, lower-case text; rows without usable text are dropped.
+
+    The text passes through a generator of at most one row, so it is cleaned
+    once: a plain filter would be pushed below the cleaning and repeat it.
+    """
+    def usable(text):
+        keep = text.isNotNull()
+        for part in drop_containing:
+            keep = keep & ~F.contains(text, F.lit(part))
+        return keep
+
+    others = [c for c in df.columns if c != col]
+    once = F.explode(F.filter(F.array(strip_before_filter(col)), usable)).alias(col)
+    kept = df.select(*others, once)
+    return kept.withColumn(col, strip_punctuation(F.col(col), replace)).select(*df.columns)
 
 
 def tokenize(df: DataFrame, col: str, out: str = "word") -> DataFrame:
@@ -53,8 +64,10 @@ def tf_idf(counts: DataFrame, term: str = "word", doc: str = "ut", n: str = "n")
     """Add ``tf``, ``idf`` and ``tf_idf``.
 
     A row without a document counts as a row that holds the term, but not as a
-    document, and has no score of its own.
+    document, and has no score of its own.  The counts are read four times, so
+    they are kept in a scratch table rather than counted again from the texts.
     """
+    counts = Scratch(counts.sparkSession, "counts").save(counts)
     totals = counts.where(F.col(doc).isNotNull()).groupBy(doc).agg(F.sum(n).alias("_total"))
     holders = counts.groupBy(term).agg(F.count(F.lit(1)).alias("_holders"))
     docs = counts.agg(F.countDistinct(doc).alias("docs")).scalar()
@@ -80,11 +93,15 @@ def top_terms_by_cluster(tokens: DataFrame, level: str, carry=(), n: int = fixed
     """The words with the n highest tf-idf per cluster, ties kept.
 
     ``carry`` names parent levels.  NULL clusters take part in the counts and
-    drop out of the ranking.
+    drop out of the ranking.  Words are first counted per paper, in one pass over
+    the texts; everything else follows from that smaller table.
     """
-    counts = term_counts(tokens, [*carry, level])
+    per_paper = Scratch(tokens.sparkSession, "words").save(
+        term_counts(tokens, [*carry, level, paper])
+    )
+    counts = per_paper.groupBy(*carry, level, "word").agg(F.sum("n").alias("n"))
     best = top_with_ties(tf_idf(counts, "word", level), [level], "tf_idf", n)
-    return best.join(papers_per_cluster(tokens, level, paper), level)
+    return best.join(papers_per_cluster(per_paper, level, paper), level)
 
 
 def words_in_line(top: DataFrame, level: str, carry=(), order: str = "n") -> DataFrame:

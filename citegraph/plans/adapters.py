@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; a file too small to be split is spread over the cores."""
+    docs = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def order_part_links(spark, sf_dir) -> DataFrame:
     """Orders cite parts."""
     return table(spark, sf_dir, "lineitem").select(
@@ -63,7 +70,7 @@ def part_keywords(spark, sf_dir) -> DataFrame:
 def papers(spark, sf_dir) -> DataFrame:
     """Documents as papers; every seventeenth has no cluster."""
     clustered = F.col("doc_id") % 17 != 0
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("ut"),
         F.col("source").alias("title"),
         F.col("text").alias("abstract"),
@@ -74,7 +81,7 @@ def papers(spark, sf_dir) -> DataFrame:
 
 def text_data(spark, sf_dir) -> DataFrame:
     """Documents with the four searchable columns."""
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("ut"),
         F.col("source").alias("title"),
         F.col("text").alias("abstract"),
@@ -85,7 +92,7 @@ def text_data(spark, sf_dir) -> DataFrame:
 
 def raw_words(spark, sf_dir) -> DataFrame:
     """(ut, word) over the uncleaned texts."""
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("ut"), F.explode(words("text")).alias("word")
     )
 

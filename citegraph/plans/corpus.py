@@ -48,12 +48,15 @@ def noun_phrase_table(corpus: DataFrame, title_np: DataFrame, abstract_np: DataF
 
 
 def citation_links(corpus: DataFrame, citation: DataFrame) -> DataFrame:
-    """Distinct links from or to a paper of the corpus."""
-    links = citation.select("citing_ut", "cited_ut")
+    """Distinct links from or to a paper of the corpus.
+
+    Each link is looked up under both of its ends, in one pass over the links.
+    """
+    links = citation.select(
+        "citing_ut", "cited_ut", F.explode(F.array_distinct(F.array("citing_ut", "cited_ut"))).alias("ut")
+    )
     papers = corpus.select("ut").distinct()
-    out = links.join(papers.withColumnRenamed("ut", "citing_ut"), "citing_ut", "left_semi")
-    into = links.join(papers.withColumnRenamed("ut", "cited_ut"), "cited_ut", "left_semi")
-    return out.unionByName(into).distinct()
+    return links.join(papers, "ut", "left_semi").select("citing_ut", "cited_ut").distinct()
 
 
 def altmetric_links(corpus: DataFrame, pub_detail: DataFrame, pub_citation: DataFrame,
