@@ -223,6 +223,8 @@ def signature_keys(hashes: np.ndarray, size: int, starts: np.ndarray) -> np.ndar
     for target in (band, band + 1):
         top = starts[target + 1] - 1 if target + 1 < len(starts) else starts[target] * 5 // 4
         bound = 2 * int(top) // 9
+        if not bound:  # only equal sets could link, and they are one class already
+            continue
         groups = bound // 2 + 1
         parts = sketch_words(hashes, groups * GROUP_WORDS).reshape(groups, GROUP_WORDS)
         mixed = T.mix(parts ^ T._ROLES[:GROUP_WORDS])
@@ -230,7 +232,7 @@ def signature_keys(hashes: np.ndarray, size: int, starts: np.ndarray) -> np.ndar
         place = (np.uint64(target) << np.uint64(40)) + np.arange(groups, dtype=np.uint64) * np.uint64(8)
         for omitted in range(GROUP_WORDS):
             found.append(T.mix(total - mixed[:, omitted] + T.mix(place + np.uint64(omitted))))
-    return np.concatenate(found)
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
 def signatures(sets: DataFrame) -> DataFrame:
