@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citegraph.llm import jaccard
+from citegraph.llm import decontaminate, jaccard, rules, sharding, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_warc_bundles", """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+    d AS (SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_digest
+          FROM p),
+    f AS (SELECT *, CASE WHEN payload_bytes >= 100
+                    THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id FROM d)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id
+                THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id
+                THEN first_id END AS refers_to
+    FROM f""")
+def op1(spark, sf_dir):
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op2_qgram_decontamination")
+def op2(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op3_ngram_jaccard_join")
 def op3(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query("op4_risk_controlled_rules")
+def op4(spark, sf_dir):
+    return rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_minimax_shards")
+def op8(spark, sf_dir):
+    return sharding.sharded(table(spark, sf_dir, "documents"))
