@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from citegraph.llm import decontaminate, jaccard, rules, sharding, warc
+from citegraph.llm import decontaminate, jaccard, packing, rules, sharding, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer() -> str:
+    """Read on the executors, where the public vocabulary package is installed as well."""
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 @query("op1_warc_bundles", """
     WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
     d AS (SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_digest
@@ -55,6 +61,11 @@ def op4(spark, sf_dir):
     return rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op6_best_fit_packing")
+def op6(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer())
+
+
 @query("op8_minimax_shards")
 def op8(spark, sf_dir):
     return sharding.sharded(table(spark, sf_dir, "documents"))
