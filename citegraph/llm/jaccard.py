@@ -14,11 +14,11 @@ A document is its set of distinct 5-word shingles; two link when
    ``(|A| + |B|) / 9``.  A sketch of size band j has more than half as many groups of
    four 64-bit words as that bound, so by the pigeonhole principle some group differs in
    at most one bit and agrees in three of its words: one key per omitted word.
-4. Pairs that share a key are verified on the sets.  A bucket is not expanded into its
-   pairs: each member meets the bucket's leader, linked classes become one component, and
-   only buckets that still hold several components go on, with another leader.  When few
-   pairs across components are left (or leaders no longer merge anything) all of those are
-   verified, so that no link between components is lost.
+4. Pairs that share a key are verified on the sets.  A bucket with many pairs is not
+   expanded: each member meets the bucket's leader, linked classes become one component, and
+   in the next turn only pairs across components count.  A bucket with few of those per
+   member is expanded and done.  If leaders no longer merge anything, the pairs across
+   components of all open buckets are verified, so that no link between components is lost.
 
 Sets are compared by 64-bit shingle hashes and, after step 2, by 48 of these bits within
 a pair.
@@ -36,29 +36,41 @@ from citegraph.operators.graph.components import connected_components
 from citegraph.scratch import Scratch
 
 #: Shingles that one bucket of the exchange holds on average; bounds a task's memory.
-BUCKET_SHINGLES = 500_000
+BUCKET_SHINGLES = 1_000_000
 #: Shingles that a task gathers before it sends blocks.
 FLUSH_SHINGLES = 1_000_000
 GROUP_WORDS = 4
+#: Pairs per member up to which a bucket is expanded at once.
+EXPAND = 12
+#: Leaders that a group of near copies meets in one turn.
+LEADERS = 8
+#: Pairs that a task gathers to drop repeated ones.
+FLUSH_PAIRS = 1_000_000
 LOW48 = np.uint64((1 << 48) - 1)
 
 
+def text_key():
+    """Tells the texts of rows that repeat a ``doc_id`` apart."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def shingle_classes(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``(doc_id, n_shingles, set_key)``, one row per row of ``docs``; equal sets share a key."""
+    """``(doc_id, text_key, n_shingles, set_key)``, one row per row; equal sets share a key."""
     def sets(batches):
         for batch in batches:
             sizes, keys = [], []
-            for words in T.row_words(batch.column(1)):
+            for words in T.row_words(batch.column(2)):
                 found = T.shingle_set(words, width)
                 sizes.append(len(found))
                 keys.append(_key_of(found))
             yield pa.record_batch(
-                [batch.column(0), pa.array(sizes, pa.int64()),
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()),
                  pa.array(np.array(keys, dtype=np.uint64).view(np.int64))],
-                names=["doc_id", "n_shingles", "set_key"])
+                names=["doc_id", "text_key", "n_shingles", "set_key"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        sets, "doc_id long, n_shingles long, set_key long")
+    return docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"),
+                       F.col("text").cast("string")).mapInArrow(
+        sets, "doc_id long, text_key long, n_shingles long, set_key long")
 
 
 def _key_of(found: np.ndarray) -> int:
@@ -127,7 +139,8 @@ def _joined(rows):
 
 
 def _exchange(blocks: DataFrame, parts: int) -> DataFrame:
-    return blocks.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    home = F.pmod("bucket", F.lit(parts))
+    return blocks.repartitionById(parts, home).sortWithinPartitions("bucket")
 
 
 def shared_sets(docs: DataFrame, buckets: int, parts: int, width: int = 5) -> DataFrame:
@@ -227,7 +240,7 @@ def signature_keys(hashes: np.ndarray, size: int, starts: np.ndarray) -> np.ndar
             continue
         groups = bound // 2 + 1
         parts = sketch_words(hashes, groups * GROUP_WORDS).reshape(groups, GROUP_WORDS)
-        mixed = T.mix(parts ^ T._ROLES[:GROUP_WORDS])
+        mixed = T.mix(parts ^ T.ROLES[:GROUP_WORDS])
         total = mixed.sum(axis=1, dtype=np.uint64)
         place = (np.uint64(target) << np.uint64(40)) + np.arange(groups, dtype=np.uint64) * np.uint64(8)
         for omitted in range(GROUP_WORDS):
@@ -235,16 +248,22 @@ def signature_keys(hashes: np.ndarray, size: int, starts: np.ndarray) -> np.ndar
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
-def signatures(sets: DataFrame) -> DataFrame:
-    """``(sig, key, comp)`` of sets ``(key, n, shared, comp)``."""
+def signatures(sets: DataFrame, turn: int) -> DataFrame:
+    """``(sig, ord, key, comp)`` of sets ``(key, n, shared, comp)``.
+
+    ``ord`` ranks the members of a bucket; it depends on the turn and on one of ``LEADERS``
+    classes of keys, so that different buckets of a group have different leaders.
+    """
+    masks = T.mix(np.arange(LEADERS, dtype=np.uint64) + np.uint64((turn + 1) * LEADERS))
+
     def keys(batches):
+        starts = band_starts(8)
         for batch in batches:
-            starts = None
             sigs, own, comps, held = [], [], [], 0
             for key, size, packed, comp in zip(
                     batch.column(0).to_pylist(), batch.column(1).to_pylist(),
                     batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if starts is None or starts[-2] <= size * 2:
+                if starts[-2] <= size * 2:
                     starts = band_starts(size * 4)
                 found = signature_keys(_widen(packed), size, starts)
                 sigs.append(found)
@@ -252,19 +271,105 @@ def signatures(sets: DataFrame) -> DataFrame:
                 comps.append(np.full(len(found), comp, np.int64))
                 held += len(found)
                 if held > 200_000:
-                    yield _sig_batch(sigs, own, comps)
+                    yield rows(sigs, own, comps)
                     sigs, own, comps, held = [], [], [], 0
             if sigs:
-                yield _sig_batch(sigs, own, comps)
+                yield rows(sigs, own, comps)
+
+    def rows(sigs, own, comps):
+        sig, key = np.concatenate(sigs), np.concatenate(own)
+        order = T.mix(key.view(np.uint64) ^ masks[(sig % np.uint64(LEADERS)).astype(np.int64)])
+        return pa.record_batch([pa.array(T.signed(sig)), pa.array(T.signed(order)), pa.array(key),
+                                pa.array(np.concatenate(comps))], names=["sig", "ord", "key", "comp"])
 
     return sets.select("key", "n", "shared", "comp").mapInArrow(
-        keys, "sig long, key long, comp long")
+        keys, "sig long, ord long, key long, comp long")
 
 
-def _sig_batch(sigs, own, comps):
-    return pa.record_batch([pa.array(T.signed(np.concatenate(sigs))),
-                            pa.array(np.concatenate(own)), pa.array(np.concatenate(comps))],
-                           names=["sig", "key", "comp"])
+def candidate_pairs(rows: DataFrame, parts: int, expand: float) -> DataFrame:
+    """``(a, b)`` to verify, and ``(key, null)`` for members of buckets that stay open."""
+    def buckets(batches):
+        """Whole buckets of rows sorted by sig, a batch's worth at a time."""
+        rest = None
+        for batch in batches:
+            now = np.stack([batch.column(k).to_numpy() for k in range(3)])
+            if rest is not None:
+                now = np.concatenate([rest, now], axis=1)
+            if not now.shape[1]:
+                continue
+            last = int(np.searchsorted(now[0], now[0, -1]))
+            if last:
+                yield now[:, :last]
+            rest = now[:, last:]
+        if rest is not None and rest.shape[1]:
+            yield rest
+
+    def pair_up(batches):
+        held = Gathered()
+        for sig, key, comp in buckets(batches):
+            cuts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            sizes = np.diff(cuts, append=len(sig))
+            mixed = np.minimum.reduceat(comp, cuts) != np.maximum.reduceat(comp, cuts)
+            for at, size in zip(cuts[mixed].tolist(), sizes[mixed].tolist(), strict=True):
+                held.add(*bucket_pairs(key[at:at + size], comp[at:at + size], expand))
+                if held.count >= FLUSH_PAIRS:
+                    yield held.flush()
+        yield held.flush()
+
+    placed = rows.repartition(parts, "sig").sortWithinPartitions("sig", "ord")
+    return placed.select("sig", "key", "comp").mapInArrow(pair_up, "a long, b long")
+
+
+class Gathered:
+    """Pairs and open keys of a task, each once per flush."""
+
+    def __init__(self):
+        self.pairs, self.open, self.count = [], [], 0
+
+    def add(self, pairs: np.ndarray, open_keys: np.ndarray) -> None:
+        self.pairs.append(pairs)
+        self.open.append(open_keys)
+        self.count += pairs.shape[1] + len(open_keys)
+        if self.count >= FLUSH_PAIRS:
+            self._once()
+
+    def _once(self) -> None:
+        pairs = np.concatenate(self.pairs, axis=1)
+        order = np.lexsort((pairs[1], pairs[0]))
+        pairs = pairs[:, order]
+        new = np.any(np.diff(pairs, axis=1, prepend=pairs[:, :1] - 1) != 0, axis=0)
+        self.pairs = [pairs[:, new]]
+        self.open = [np.unique(np.concatenate(self.open))]
+        self.count = self.pairs[0].shape[1] + len(self.open[0])
+
+    def flush(self) -> pa.RecordBatch:
+        if self.pairs:
+            self._once()
+            pairs, keys = self.pairs[0], self.open[0]
+        else:
+            pairs, keys = np.zeros((2, 0), np.int64), np.zeros(0, np.int64)
+        self.__init__()
+        a = pa.array(np.concatenate([pairs[0], keys]))
+        b = pa.concat_arrays([pa.array(pairs[1]), pa.nulls(len(keys), pa.int64())])
+        return pa.record_batch([a, b], names=["a", "b"])
+
+
+def bucket_pairs(key: np.ndarray, comp: np.ndarray, expand: float):
+    """Pairs across components of one bucket, all or with its leader only; its keys if open."""
+    size = len(key)
+    _, counts = np.unique(comp, return_counts=True)
+    across = (size * size - int((counts * counts).sum())) // 2
+    if across > expand * size:
+        others = key[comp != comp[0]]
+        pairs = np.stack([np.full(len(others), key[0]), others])
+        return np.stack([pairs.min(axis=0), pairs.max(axis=0)]), key
+    order = np.argsort(comp, kind="stable")
+    key, comp = key[order], comp[order]
+    ends = np.searchsorted(comp, comp, side="right")
+    left = np.repeat(np.arange(size), size - ends)
+    right = np.concatenate([np.arange(e, size) for e in ends]) if across else left
+    pairs = np.stack([key[left], key[right]])
+    return np.stack([pairs.min(axis=0), pairs.max(axis=0)]), key[:0]
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
@@ -294,78 +399,56 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
     )
 
 
-def linked_components(sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(key, comp)`` for the classes that link with another; comp is any common number."""
-    spark = sets.sparkSession
+def linked_components(sets: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
+    """``(key, comp)`` for all ``sets``; linked ones share ``comp``."""
     labels = sets.select("key", F.col("key").alias("comp"))
-    idle = 0
-    for turn in range(1_000):
-        rows = signatures(sets.join(labels, "key"))
-        lead = F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "comp")
-        members = F.col("members")
-        per_sig = rows.groupBy("sig").agg(
-            F.min(lead).alias("lead"), F.count(F.lit(1)).alias("members"),
-            F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-        ).where("lo <> hi").select("sig", F.col("lead.key").alias("a"),
-                                   F.col("lead.comp").alias("comp_a"), "members")
-        open_sigs, seen = scratch.save_observed(
-            per_sig, rows=F.count(F.lit(1)),
-            pairs=F.coalesce(F.sum(members * members), F.lit(0)))
-        if not seen["rows"]:
-            break
-        last = turn > 0 and (idle >= 2 or seen["pairs"] <= 64 * _count(sets))
-        if last:
-            own = rows.join(open_sigs.select("sig"), "sig")
-            pairs = own.select("sig", F.col("key").alias("a"), F.col("comp").alias("comp_a")).join(
-                own.select("sig", F.col("key").alias("b"), F.col("comp").alias("comp_b")), "sig"
-            ).where("comp_a < comp_b").select("a", "b").distinct()
-        else:
-            pairs = rows.join(open_sigs, "sig").where("comp <> comp_a").select(
-                "a", F.col("key").alias("b")).distinct()
-        edges, seen = scratch.save_observed(verified(pairs, sets), rows=F.count(F.lit(1)))
-        scratch.drop(open_sigs)
-        if seen["rows"]:
+    left, idle, turn = sets, 0, 0
+    while True:
+        expand = EXPAND if idle < 2 else float("inf")
+        rows = signatures(left.join(labels, "key"), turn)
+        found, seen = scratch.save_observed(
+            candidate_pairs(rows, parts, expand).distinct(),
+            open=F.count(F.when(F.col("b").isNull(), 1)))
+        edges, linked = scratch.save_observed(
+            verified(found.where("b is not null"), sets), rows=F.count(F.lit(1)))
+        if linked["rows"]:
             merged = connected_components(
                 edges.join(labels.toDF("a", "src"), "a").join(labels.toDF("b", "dst"), "b")
                 .where("src <> dst").select("src", "dst"))
             labels = scratch.save(
                 labels.join(merged.toDF("comp", "root"), "comp", "left")
                 .select("key", F.coalesce("root", "comp").alias("comp")))
-            idle = 0
-        else:
-            idle += 1
-        if last:
-            break
-    return labels
-
-
-def _count(df: DataFrame) -> int:
-    return df.count()
+        if not seen["open"]:
+            return labels
+        idle = 0 if linked["rows"] else idle + 1
+        left = sets.join(found.where("b is null").select(F.col("a").alias("key")), "key",
+                         "left_semi")
+        turn += 1
 
 
 def jaccard_components(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)``, one row per row of ``docs``.
+    """``(doc_id, n_shingles, component_id, text_key, group_key)``, one row per row of ``docs``.
 
-    ``component_id`` is the smallest ``doc_id`` reachable by links.  Null or empty texts have
-    no shingle and link with nothing.  Rows that repeat a ``doc_id`` are texts of their own;
-    a null ``doc_id`` takes part but never names a component unless all its members are null.
-    Other columns are ignored.
+    ``component_id`` is the smallest ``doc_id`` reachable by links; ``group_key`` is shared by
+    linked texts and by no others.  Null or empty texts have no shingle and link with nothing.
+    Rows that repeat a ``doc_id`` are texts of their own; a null ``doc_id`` takes part but names
+    no component, unless all its members are null.  Other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     sets, seen = scratch.save_observed(
         shingle_classes(docs, width), shingles=F.coalesce(F.sum("n_shingles"), F.lit(0)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(4 * parts, -(-int(seen["shingles"]) // BUCKET_SHINGLES))
+    buckets = max(parts, -(-int(seen["shingles"]) // BUCKET_SHINGLES))
     candidates = scratch.save(shared_sets(docs, buckets, parts, width))
-    labels = linked_components(candidates, scratch)
+    labels = linked_components(candidates, parts, scratch)
     classes = sets.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("first"))
-    named = classes.join(labels.toDF("set_key", "comp"), "set_key", "left")
-    named = scratch.save(named)
-    roots = named.where("comp is not null").groupBy("comp").agg(F.min("first").alias("root"))
-    whole = scratch.save(named.join(roots, "comp", "left").select(
-        "set_key", F.coalesce("root", "first").alias("component")))
+    named = scratch.save(classes.join(labels.toDF("set_key", "comp"), "set_key", "left").select(
+        "set_key", "first", F.coalesce("comp", "set_key").alias("group_key")))
+    roots = named.groupBy("group_key").agg(F.min("first").alias("component_id"))
+    whole = scratch.save(named.join(roots, "group_key").select(
+        "set_key", "group_key", "component_id"))
     return sets.join(whole, "set_key", "left").select(
         "doc_id", "n_shingles",
-        F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
-        .alias("component_id"))
+        F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+        .alias("component_id"), "text_key", "group_key")

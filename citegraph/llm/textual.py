@@ -19,13 +19,16 @@ SLICE_BYTES = 1 << 20
 SPACES = np.frombuffer(b" \t\n\v\f\r", dtype=np.uint8)
 _IN_WORD = np.ones(256, dtype=bool)
 _IN_WORD[SPACES] = False
+#: ASCII letters and digits, and all bytes beyond ASCII.
+ALPHANUMERIC = np.zeros(256, dtype=bool)
+ALPHANUMERIC[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 _NUMBERS = np.random.default_rng(20240501).integers(1, 2**63, size=512, dtype=np.uint64)
 _CODES = _NUMBERS[:256] * np.uint64(2) + np.uint64(1)
 _FOLDED = _CODES.copy()
 _FOLDED[65:91] = _FOLDED[97:123]
 _BASE = 0x9E3779B97F4A7C15 | 1
-_ROLES = _NUMBERS[256:] * np.uint64(2) + np.uint64(1)
+ROLES = _NUMBERS[256:] * np.uint64(2) + np.uint64(1)
 
 
 def _powers(base: int, count: int) -> np.ndarray:
@@ -96,18 +99,26 @@ def _spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
-def _hash_spans(data: np.ndarray, starts, ends, codes: np.ndarray) -> np.ndarray:
+def _prefix(data: np.ndarray, codes: np.ndarray = _CODES) -> np.ndarray:
+    """Sums of the bytes' codes times a power of their place, before each byte and after all."""
     _Tables.reach(len(data) + 1)
-    total = codes[data]
-    total *= _Tables.up[:len(data)]
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.multiply(codes[data], _Tables.up[:len(data)], out=total[1:])
     np.cumsum(total, out=total)
-    found = total[ends - 1]
-    found[starts > 0] -= total[starts[starts > 0] - 1]
+    return total
+
+
+def _from_prefix(total: np.ndarray, starts, ends) -> np.ndarray:
+    found = total[ends] - total[starts]
     found *= _Tables.down[starts]
     found += (ends - starts).astype(np.uint64)
     return mix(found)
 
 
+def _hash_spans(data: np.ndarray, starts, ends, codes: np.ndarray) -> np.ndarray:
+    return _from_prefix(_prefix(data, codes), starts, ends)
+
+
 def row_words(column: pa.Array, fold: bool = True) -> Iterator[np.ndarray]:
     """The word hashes of each row's whole text."""
     for _, data, offsets in byte_slices(column):
@@ -129,11 +140,16 @@ def _slice_words(data, offsets, fold) -> Iterator[np.ndarray]:
         yield hashes[lo:hi]
 
 
-def row_word_spans(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """``(bytes, hashes, starts, ends)`` of each row; places count from its first byte."""
+def row_word_spans(column: pa.Array, fold: bool = True, inside: np.ndarray = _IN_WORD
+                   ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(bytes, hashes, starts, ends)`` of each row; places count from its first byte.
+
+    ``inside`` says which bytes belong to words.
+    """
+    codes = _FOLDED if fold else _CODES
     for _, data, offsets in byte_slices(column):
-        starts, ends = _spans(_IN_WORD[data], offsets) if len(data) else (np.zeros(0, np.int64),) * 2
-        hashes = (_hash_spans(data, starts, ends, _FOLDED) if len(starts)
+        starts, ends = _spans(inside[data], offsets) if len(data) else (np.zeros(0, np.int64),) * 2
+        hashes = (_hash_spans(data, starts, ends, codes) if len(starts)
                   else np.zeros(0, np.uint64))
         cuts = np.searchsorted(starts, offsets)
         for k in range(len(offsets) - 1):
@@ -150,12 +166,12 @@ def shingle_set(words: np.ndarray, width: int = 5) -> np.ndarray:
         whole = np.uint64(count)
         with np.errstate(over="ignore"):
             for j in range(count):
-                whole = whole + words[j] * _ROLES[j]
+                whole = whole + words[j] * ROLES[j]
         return mix(np.array([whole], dtype=np.uint64))
     left = count - width + 1
-    total = words[:left] * _ROLES[0]
+    total = words[:left] * ROLES[0]
     for j in range(1, width):
-        total += words[j:j + left] * _ROLES[j]
+        total += words[j:j + left] * ROLES[j]
     total += np.uint64(width)
     return np.unique(mix(total))
 
@@ -163,3 +179,24 @@ def shingle_set(words: np.ndarray, width: int = 5) -> np.ndarray:
 def signed(values: np.ndarray) -> np.ndarray:
     """The same bits as Spark's signed long."""
     return np.ascontiguousarray(values).view(np.int64)
+
+
+def row_lines(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(hashes, words)`` of each row's \n-split lines; an empty text has no line.
+
+    Lines are equal if their bytes are; ``words`` counts their words.
+    """
+    for _, data, offsets in byte_slices(column):
+        if len(data):
+            word_starts, _ = _spans(_IN_WORD[data], offsets)
+            breaks = np.flatnonzero(data == 10)
+            hashed = _prefix(data)
+        for lo, hi in zip(offsets[:-1], offsets[1:], strict=True):
+            if lo == hi:
+                yield np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                continue
+            own = breaks[np.searchsorted(breaks, lo):np.searchsorted(breaks, hi)]
+            starts = np.concatenate([[lo], own + 1])
+            ends = np.concatenate([own, [hi]])
+            words = np.searchsorted(word_starts, ends) - np.searchsorted(word_starts, starts)
+            yield _from_prefix(hashed, starts, ends), words
