@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citegraph.llm.alignment import banded_alignment
+
 Q = 8
 EDIT_RATE = 0.1
 #: Characters of items that one pass over the texts holds in every task.
@@ -133,49 +135,8 @@ class ItemIndex:
         at = plain.find(item, max(0, low), max(0, high) + len(item))
         if at >= 0:
             return 0, at, at + len(item)
-        return banded_alignment(item, plain, low - budget, high + budget, budget)
-
-
-def banded_alignment(item: str, text: str, low: int, high: int, budget: int):
-    """``(edits, start, end)`` of the region within the diagonals ``low..high`` that is nearest
-    to ``item``, or None beyond the budget; ties go to the earliest end."""
-    first = max(0, low)
-    last = min(len(text), high + len(item))
-    if first >= last:
-        return None
-    own, other = characters(item), characters(text[first:last])
-    width = high - low + 1
-    places = low - first + np.arange(width)
-    far = len(own) + len(other) + 1
-    cost = np.where((places >= 0) & (places <= len(other)), 0, far)
-    start = np.clip(places, 0, len(other))
-    slide = np.arange(width)
-    for i in range(1, len(own) + 1):
-        # Column j of row i stands for the text place j + i; so up-left is the same column.
-        here = places + i
-        inside = (here >= 1) & (here <= len(other))
-        same = np.zeros(width, bool)
-        same[inside] = other[here[inside] - 1] == own[i - 1]
-        step = np.where(inside, cost + ~same, far)
-        origin = start.copy()
-        up = np.append(cost[1:], far) + 1
-        up[(here < 0) | (here > len(other))] = far
-        better = up < step
-        step[better] = up[better]
-        origin[better] = np.append(start[1:], 0)[better]
-        # Along the row: cost + distance, as a running minimum; the origin follows its place.
-        level = step - slide
-        lowest = np.minimum.accumulate(level)
-        source = np.maximum.accumulate(np.where(level == lowest, slide, 0))
-        moved = (lowest < level) & inside
-        cost = np.where(moved, lowest + slide, step)
-        start = np.where(moved, origin[source], origin)
-        if cost.min() > budget:
-            return None
-    end = int(np.argmin(cost))
-    if cost[end] > budget:
-        return None
-    return int(cost[end]), first + int(start[end]), first + int(places[end]) + len(own)
+        return banded_alignment(characters(item), characters(plain), low - budget, high + budget,
+                                budget)
 
 
 def _blocks(benchmark: DataFrame, rate: float):

@@ -5,7 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from citegraph.llm import decontaminate, jaccard, packing, rules, sharding, warc
+from citegraph.llm import (
+    decontaminate,
+    importance,
+    jaccard,
+    langid,
+    licenses,
+    linededup,
+    packing,
+    rules,
+    sharding,
+    warc,
+)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -61,11 +72,32 @@ def op4(spark, sf_dir):
     return rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op5_bigru_language_id")
+def op5(spark, sf_dir):
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
 @query("op6_best_fit_packing")
 def op6(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer())
 
 
+@query("op7_license_scan")
+def op7(spark, sf_dir):
+    return licenses.license_spans(table(spark, sf_dir, "documents"))
+
+
 @query("op8_minimax_shards")
 def op8(spark, sf_dir):
     return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
+@query("op9_line_dedup")
+def op9(spark, sf_dir):
+    return linededup.without_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_deleted", "text")
+
+
+@query("op10_importance_resampling")
+def op10(spark, sf_dir):
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
