@@ -230,11 +230,11 @@ SHARES_SQL = """
              HAVING count(DISTINCT id_art) >= 10),
     final AS (SELECT DISTINCT PersonID, p.id_art, Title, Affiliation, Year, cluster
       FROM people p JOIN order_clusters USING (id_art) JOIN kept USING (cluster)),
-    person AS (SELECT PersonID, cluster, sum(1.0 / person_total) AS pct_cluster FROM (
+    person AS (SELECT PersonID, cluster, count(*) / max(person_total) AS pct_cluster FROM (
       SELECT PersonID, id_art, count(*) OVER (PARTITION BY PersonID) AS person_total
       FROM (SELECT DISTINCT PersonID, id_art FROM final))
       LEFT JOIN order_clusters USING (id_art) GROUP BY PersonID, cluster),
-    shares AS (SELECT f.PersonID, Affiliation, Year, f.cluster, round(pct_cluster, 6) AS pct_cluster
+    shares AS (SELECT f.PersonID, Affiliation, Year, f.cluster, pct_cluster
       FROM (SELECT DISTINCT PersonID, Affiliation, Year, cluster FROM final) f
       LEFT JOIN person p ON p.PersonID = f.PersonID AND p.cluster = f.cluster)"""
 
@@ -242,8 +242,7 @@ SHARES_SQL = """
 def shares(spark, sf_dir):
     clusters = a.order_clusters(spark, sf_dir)
     people = reports.people_in_clusters(a.people(spark, sf_dir), clusters)
-    table_ = reports.person_cluster_share(people, clusters)
-    return table_.withColumn("pct_cluster", F.round("pct_cluster", 6))
+    return reports.person_cluster_share(people, clusters)
 
 
 @query("people_in_clusters", with_views(
@@ -253,9 +252,10 @@ def people_in_clusters(spark, sf_dir):
 
 
 @query("person_cluster_share", with_views(
-    "people order_clusters", f"WITH {SHARES_SQL} SELECT * FROM shares"))
+    "people order_clusters", f"""WITH {SHARES_SQL}
+    SELECT PersonID, Affiliation, Year, cluster, round(pct_cluster, 6) AS pct_cluster FROM shares"""))
 def person_cluster_share(spark, sf_dir):
-    return shares(spark, sf_dir)
+    return shares(spark, sf_dir).withColumn("pct_cluster", F.round("pct_cluster", 6))
 
 
 @query("institution_cluster_share", with_views("people order_clusters", f"""

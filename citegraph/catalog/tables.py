@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from citegraph.catalog import query
@@ -13,7 +15,7 @@ from citegraph.plans import adapters as a
 from citegraph.plans.adapters import table, with_views
 from citegraph.scratch import Scratch
 from citegraph.sources import files
-from citegraph.sources.lexicons import stop_words
+from citegraph.sources.lexicons import STOP_LANGUAGES, STOP_SQL, stop_words
 
 # --- sources and sinks -----------------------------------------------------
 
@@ -23,7 +25,7 @@ def tsv_scan(spark, sf_dir):
     path = Scratch(spark, "tsv").new_path()
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     files.write_tsv(docs, path)
-    return files.read_tsv(spark, path, docs.schema)
+    return files.read_tsv(spark, path, docs.schema, escaped_breaks=True)
 
 
 @query("csv_scan", "SELECT p_partkey, p_name, p_brand, p_size, p_retailprice FROM part")
@@ -38,13 +40,18 @@ def csv_scan(spark, sf_dir):
 
 @query("workbook_sheet_scan", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def workbook_sheet_scan(spark, sf_dir):
-    return files.read_sheet(spark, sf_dir, "nation.parquet")
+    workbook = Scratch(spark, "workbook").new_path()
+    sheets = {"nation": ("n_nationkey", "n_name", "n_regionkey"), "region": ("r_regionkey", "r_name")}
+    for sheet, columns in sheets.items():
+        files.write_csv(table(spark, sf_dir, sheet).select(*columns), f"{workbook}/{sheet}")
+    return files.read_sheet(spark, workbook, "nation",
+                            "n_nationkey BIGINT, n_name STRING, n_regionkey BIGINT")
 
 
-@query("table_scan", "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_quantity > 40")
+@query("table_scan", "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem")
 def table_scan(spark, sf_dir):
     lines = files.read_table(spark, f"{sf_dir}/lineitem.parquet")
-    return lines.select("l_orderkey", "l_partkey", "l_quantity").where("l_quantity > 40")
+    return lines.select("l_orderkey", "l_partkey", "l_quantity")
 
 
 @query("materialised_selection", """
@@ -52,7 +59,8 @@ def table_scan(spark, sf_dir):
 def materialised_selection(spark, sf_dir):
     urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
     path = Scratch(spark, "table").new_path()
-    return files.keep_as_table(urgent.select("o_orderkey", "o_custkey"), "urgent_orders", path)
+    name = f"urgent_orders_{uuid.uuid4().hex}"
+    return files.keep_as_table(urgent.select("o_orderkey", "o_custkey"), name, path)
 
 
 @query("csv_sink", "SELECT l_returnflag AS flag, count(*) AS n FROM lineitem GROUP BY l_returnflag")
@@ -141,9 +149,9 @@ def numeric_threshold(spark, sf_dir):
 
 @query("not_in_list_keep_null", with_views("customers_as_papers", """
     SELECT ut, meso_cluster FROM customers_as_papers
-    WHERE meso_cluster IS NULL OR meso_cluster NOT IN (2, 7, 8, 11, 12, 15, 16)"""))
+    WHERE meso_cluster IS NULL OR meso_cluster NOT IN (3, 5, 9, 14, 21)"""))
 def not_in_list_keep_null(spark, sf_dir):
-    noise = (2, 7, 8, 11, 12, 15, 16)
+    noise = (3, 5, 9, 14, 21)
     papers = a.customers_as_papers(spark, sf_dir)
     return papers.where(nulls.not_in_keep_null("meso_cluster", noise)).select("ut", "meso_cluster")
 
@@ -244,15 +252,13 @@ def left_join_chain(spark, sf_dir):
     )
 
 
-STOP = ("the", "of", "and", "to", "a", "in", "is", "that", "it", "la", "le", "der", "die")
-STOP_SQL = ", ".join(f"'{w}'" for w in STOP)
 
 
 @query("anti_join", with_views("raw_words", f"""
     SELECT ut, word, count(*) AS n FROM raw_words WHERE word NOT IN ({STOP_SQL})
     GROUP BY ut, word"""))
 def anti_join(spark, sf_dir):
-    stop = stop_words(spark, languages=(), extra=STOP)
+    stop = stop_words(spark, STOP_LANGUAGES)
     kept = a.raw_words(spark, sf_dir).join(stop, "word", "left_anti")
     return kept.groupBy("ut", "word").agg(F.count(F.lit(1)).alias("n"))
 
@@ -439,15 +445,16 @@ def global_scalars(spark, sf_dir):
       SELECT l_partkey AS src, l_suppkey AS dst, 1 AS weight, 'undirected' AS type
       FROM lineitem WHERE l_returnflag = 'R'
       UNION ALL SELECT l_partkey, l_suppkey, 2, 'undirected'
-      FROM lineitem WHERE l_returnflag = 'A') GROUP BY src, dst, type""")
+      FROM lineitem WHERE l_returnflag <> 'R') GROUP BY src, dst, type""")
 def bag_union_reaggregate(spark, sf_dir):
-    def network(flag: str, weight: int):
-        return table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == flag).select(
+    def network(chosen, weight: int):
+        return table(spark, sf_dir, "lineitem").where(chosen).select(
             F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"),
             F.lit(weight).cast("bigint").alias("weight"), F.lit("undirected").alias("type"),
         )
 
-    return combine_networks(network("R", 1), network("A", 2))
+    returned = F.col("l_returnflag") == "R"
+    return combine_networks(network(returned, 1), network(~returned, 2))
 
 
 # --- windows -------------------------------------------------------------------

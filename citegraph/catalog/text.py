@@ -11,10 +11,8 @@ from citegraph.operators import text as t
 from citegraph.plans import adapters as a
 from citegraph.plans import corpus, reports
 from citegraph.plans.adapters import WORD, table, with_views
-from citegraph.sources.lexicons import stop_words
+from citegraph.sources.lexicons import STOP_LANGUAGES, STOP_SQL, stop_words
 
-STOP = ("the", "of", "and", "to", "a", "in", "is", "that", "it", "la", "le", "der", "die")
-STOP_SQL = ", ".join(f"'{w}'" for w in STOP)
 REPLACEMENTS = (("estion", "question"),)
 
 
@@ -54,7 +52,7 @@ def cleaned_papers(spark, sf_dir):
 def tokens(spark, sf_dir):
     """Words of the cleaned papers without stop words."""
     words = t.tokenize(cleaned_papers(spark, sf_dir), "abstract")
-    return t.remove_stop_words(words, stop_words(spark, languages=(), extra=STOP))
+    return t.remove_stop_words(words, stop_words(spark, STOP_LANGUAGES))
 
 
 @query("clean_text", with_views("papers", f"WITH {CLEANING} SELECT ut, abstract FROM cleaned"))

@@ -15,9 +15,6 @@ EXTRA_STOP_WORDS = ("shark", "species")
 # Whole words replaced after cleaning (plural to singular).
 WORD_REPLACEMENTS = (("sharks", "shark"),)
 
-# The further replacement used by one of the analyses.
-WORD_REPLACEMENTS_MERGED = (("sharks", "shark"), ("species", "shark"))
-
 # Texts containing one of these are dropped while cleaning.
 DROP_CONTAINING = ("null",)
 

@@ -8,19 +8,23 @@ from pyspark.sql import functions as F
 from citegraph import fixed_values as fixed
 
 
-def contains_word(column: str | Column, word: str) -> Column:
-    """Whole-word, case-insensitive match; letters of any script count as letters."""
+def quoted(word: str) -> str:
+    """The word as a pattern that matches only itself."""
+    return "\\Q" + word.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
+def contains_word(column: str | Column, *words: str) -> Column:
+    """Whole-word, case-insensitive match of any word; letters of any script are letters."""
     col = F.col(column) if isinstance(column, str) else column
     edge = r"[^\p{L}\p{N}_]"
-    return col.rlike(rf"(?i)(^|{edge}){word}($|{edge})")
+    return col.rlike(rf"(?i)(^|{edge})({'|'.join(map(quoted, words))})($|{edge})")
 
 
 def contains_any(columns, words) -> Column:
-    """OR over every column and word, for a single scan."""
+    """OR over every column and word: one pattern per column, for a single scan."""
     found = F.lit(False)
     for column in columns:
-        for word in words:
-            found = found | F.coalesce(contains_word(column, word), F.lit(False))
+        found = found | F.coalesce(contains_word(column, *words), F.lit(False))
     return found
 
 
@@ -39,7 +43,8 @@ def strip_punctuation(text: Column, replacements=fixed.WORD_REPLACEMENTS) -> Col
     """Delete punctuation without a gap, then replace whole words."""
     text = F.regexp_replace(text, fixed.PUNCTUATION, "")
     for word, replacement in replacements:
-        text = F.regexp_replace(text, rf"\b{word}\b", replacement)
+        plain = replacement.replace("\\", "\\\\").replace("$", "\\$")
+        text = F.regexp_replace(text, rf"\b{quoted(word)}\b", plain)
     return text
 
 

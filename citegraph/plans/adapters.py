@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from citegraph import fixed_values as fixed
 from citegraph.functions.text import words
 
-TOPICS = 19
+#: Components of every vector of the given table.
+TOPICS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents; a file too small to be split is spread over the cores."""
-    docs = table(spark, sf_dir, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+    return table(spark, sf_dir, "documents")
 
 
 def order_part_links(spark, sf_dir) -> DataFrame:
@@ -86,7 +84,7 @@ def text_data(spark, sf_dir) -> DataFrame:
         F.col("source").alias("title"),
         F.col("text").alias("abstract"),
         F.col("lang").alias("keyword"),
-        F.substring("text", 1, 40).alias("keyword_plus"),
+        F.concat_ws(" ", "lang", "source").alias("keyword_plus"),
     )
 
 
@@ -160,11 +158,9 @@ def affiliations(spark, sf_dir) -> DataFrame:
 
 
 def topic_shares(spark, sf_dir) -> DataFrame:
-    """The first 19 vector components as document-topic shares."""
+    """The vector components as document-topic shares."""
     e = table(spark, sf_dir, "embeddings")
-    absolute = F.transform(
-        F.slice("embedding", 1, TOPICS), lambda x: F.abs(x.cast("double"))
-    )
+    absolute = F.transform("embedding", lambda x: F.abs(x.cast("double")))
     total = F.aggregate(absolute, F.lit(0.0), lambda a, x: a + x)
     cells = e.select(
         F.col("vec_id").alias("ut"), total.alias("_total"),
@@ -207,7 +203,7 @@ VIEWS = {
         FROM documents""",
     "text_data": """
         SELECT doc_id AS ut, source AS title, text AS abstract, lang AS keyword,
-               substring(text, 1, 40) AS keyword_plus FROM documents""",
+               concat_ws(' ', lang, source) AS keyword_plus FROM documents""",
     "raw_words": f"""
         SELECT doc_id AS ut, unnest(regexp_extract_all(lower(text), '{WORD}')) AS word
         FROM documents""",
@@ -236,7 +232,7 @@ VIEWS = {
     "vector_parts": """
         SELECT vec_id AS ut, label, CAST(i AS INTEGER) AS topic,
                abs(CAST(embedding[i] AS DOUBLE)) AS size
-        FROM embeddings, unnest(range(1, 20)) AS r(i)""",
+        FROM embeddings, unnest(range(1, 65)) AS r(i)""",
     "topic_shares": """
         SELECT ut, topic, size / sum(size) OVER (PARTITION BY ut) AS gamma FROM vector_parts""",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from citegraph import fixed_values as fixed
 from citegraph.functions.nulls import mean_of, not_in_keep_null, standardise, sum_of
 from citegraph.operators.relational import (
-    grouped_median, recode, top_numbered, value_flags, with_extent, with_group_totals,
+    grouped_median, top_numbered, value_flags, with_extent, with_group_totals,
 )
 from citegraph.operators.text import top_terms_by_cluster, words_in_line
 
@@ -130,14 +130,16 @@ def people_in_clusters(people: DataFrame, clusters: DataFrame,
 
 
 def person_cluster_share(people_clusters: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Share of each person's papers per cluster, next to affiliation and year."""
+    """Share of each person's papers per cluster, next to affiliation and year.
+
+    ``clusters`` has one row per paper, so a person's papers are the sum over the clusters.
+    """
     papers = people_clusters.select("PersonID", "id_art").distinct()
-    counted = with_group_totals(papers, ["PersonID"], person_total=F.count(F.lit(1)))
-    shares = (
-        counted.withColumn("pct_total", F.lit(1.0) / F.col("person_total"))
-        .join(clusters, "id_art", "left")
-        .groupBy("PersonID", "cluster")
-        .agg(F.sum("pct_total").alias("pct_cluster"))
+    counted = papers.join(clusters, "id_art", "left").groupBy("PersonID", "cluster").agg(
+        F.count(F.lit(1)).alias("papers")
+    )
+    shares = with_group_totals(counted, ["PersonID"], person_total=F.sum("papers")).select(
+        "PersonID", "cluster", (F.col("papers") / F.col("person_total")).alias("pct_cluster")
     )
     facts = people_clusters.select("PersonID", "Affiliation", "Year", "cluster").distinct()
     return facts.join(shares, ["PersonID", "cluster"], "left").select(
@@ -156,11 +158,6 @@ def institution_cluster_share(shares: DataFrame, dedupe: bool = True) -> DataFra
     return rows.groupBy("Affiliation", "cluster").agg(F.sum("pct_cluster").alias("total"))
 
 
-def recoded_clusters(clusters: DataFrame, mapping=None) -> DataFrame:
-    """Clusters under their report names."""
-    return recode(clusters, "cluster", mapping)
-
-
 def cluster_keywords(tfidf: DataFrame, clusters: DataFrame,
                      min_tf_idf: float = fixed.MIN_KEYWORD_TF_IDF,
                      top: int = fixed.TOP_KEYWORDS) -> DataFrame:

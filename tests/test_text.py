@@ -65,7 +65,6 @@ STEMS = {
 def test_stems(spark, rows):
     words = spark.createDataFrame([(w,) for w in STEMS], "word string")
     got = dict(rows(stem_vocabulary(words), "word", "stemmed"))
-    STEMS["toy"] = "toi" if got["toy"] == "toi" else "toy"
     assert got == STEMS
 
 
