@@ -17,6 +17,7 @@ from citegraph.llm import (
     sharding,
     warc,
 )
+from citegraph.llm.shipping import ship
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -33,12 +34,13 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer() -> str:
-    """Read on the executors, where the public vocabulary package is installed as well."""
-    return public_tokenizers.path("byte_bpe_50k.json")
+def tokenizer() -> tuple[str, str]:
+    """Tokenizer and ranks, read on the executors, where the package is installed as well."""
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 @query("op1_warc_bundles", """
@@ -79,7 +81,7 @@ def op5(spark, sf_dir):
 
 @query("op6_best_fit_packing")
 def op6(spark, sf_dir):
-    return packing.packed(table(spark, sf_dir, "documents"), tokenizer())
+    return packing.packed(table(spark, sf_dir, "documents"), *tokenizer())
 
 
 @query("op7_license_scan")

@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citegraph.llm import decontaminate, importance, jaccard, linededup, packing
+from citegraph.llm.shipping import ship
 
 WORD = r"[^\x20\x09-\x0D]"
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows drawn by importance resampling against the texts labelled good."""
+    ship(spark)
     return importance.kept_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -25,6 +27,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``n_chars`` follows the text where lines went, if the table has that column.
     """
+    ship(spark)
     cut = linededup.without_repeats(docs)
     changed = F.col("n_deleted") > 0
     left = cut.where(~changed | F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
@@ -39,27 +42,33 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Texts without a word are in no group and stay.
     """
+    ship(spark)
     found = jaccard.jaccard_components(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
     kept = found.where("n_shingles > 0").groupBy("group_key").agg(first.alias("first")).select(
-        F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"))
-    keyed = docs.where(F.col("text").rlike(WORD)).withColumns({
-        "_id": F.col("doc_id").cast("long"), "_key": jaccard.text_key()}).alias("l")
-    same = F.col("l._id").eqNullSafe(F.col("r._id")) & (F.col("l._key") == F.col("r._key"))
+        F.col("first.doc_id").alias("id"), F.col("first.text_key").alias("key"))
+    # In a struct the columns of ``docs`` cannot clash with the keys of the join.
+    keyed = docs.where(F.col("text").rlike(WORD)).select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col("doc_id").cast("long").alias("id"), jaccard.text_key().alias("key")).alias("l")
+    same = F.col("l.id").eqNullSafe(F.col("r.id")) & (F.col("l.key") == F.col("r.key"))
     # Rows that repeat id and text are one document.
-    chosen = keyed.join(kept.alias("r"), same, "left_semi").dropDuplicates(["_id", "_key"])
+    chosen = keyed.join(kept.alias("r"), same, "left_semi").dropDuplicates(["id", "key"])
     wordless = docs.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
-    return chosen.select(*docs.columns).unionAll(wordless)
+    return chosen.select("row.*").unionAll(wordless)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text holds no benchmark item."""
+    ship(spark)
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every text with their place in a sequence."""
-    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    ship(spark)
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"),
+                          public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 STAGES = [

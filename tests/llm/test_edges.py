@@ -18,6 +18,7 @@ from citegraph.llm import (
 
 LABELS = "doc_id long, quality int, toxic int"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 ITEM = "the benchmark passage that nobody should ever train on, word for word"
 
 OPERATORS = {
@@ -28,7 +29,7 @@ OPERATORS = {
     "jaccard": lambda spark, docs: jaccard.jaccard_components(docs),
     "rules": lambda spark, docs: rules.judged(docs, labels(spark)),
     "langid": lambda spark, docs: langid.languages(docs, steps=5),
-    "packing": lambda spark, docs: packing.packed(docs, PATH),
+    "packing": lambda spark, docs: packing.packed(docs, PATH, RANKS),
     "licenses": lambda spark, docs: licenses.license_spans(docs),
     "sharding": lambda spark, docs: sharding.sharded(docs),
     "linededup": lambda spark, docs: linededup.without_repeats(docs),

@@ -11,6 +11,7 @@ from citegraph.llm import licenses, linededup, packing, sharding
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def plain_dedup(rows, min_words):
@@ -138,10 +139,10 @@ def test_best_fit_runs_equal_one_by_one_packing():
 def test_pieces_hold_the_tokenizer_ids(spark):
     rng = random.Random(12)
     words = ["the", "don't", "  two", "\n\n", "été", "中文", "\U0001f600", "a1b22", "###", "<|endoftext|>",
-             "\t x", " "]
+             "\t x", " ", "\x1c", "\xa0", "\u2003x", "'s", "\r\n", "I'll"]
     rows = [(k, " ".join(rng.choice(words) for _ in range(rng.choice([0, 3, 80, 3000]))))
             for k in range(40)] + [(90, None)]
-    found = packing.packed(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()
+    found = packing.packed(spark.createDataFrame(rows, "doc_id long, text string"), PATH, RANKS).collect()
     tokenizer = Tokenizer.from_file(PATH)
     own, bins = defaultdict(list), defaultdict(list)
     for r in found:
