@@ -170,12 +170,13 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     cuts = deletions(docs, min_words)
     columns = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
-    left = docs.select(*columns, _text_key().alias("_key"),
-                       F.col("doc_id").cast("long").alias("_id")).alias("l")
-    joined = left.join(cuts.alias("r"), (F.col("l._id").eqNullSafe(F.col("r.doc_id")))
-                       & (F.col("l._key") == F.col("r.text_key")), "left")
+    # In a struct the columns of ``docs`` cannot clash with the keys of the join.
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"),
+                       _text_key().alias("key"), F.col("doc_id").cast("long").alias("id")).alias("l")
+    joined = left.join(cuts.alias("r"), (F.col("l.id").eqNullSafe(F.col("r.doc_id")))
+                       & (F.col("l.key") == F.col("r.text_key")), "left")
     at = columns.index("text")
-    schema = docs.select(*columns).schema.add("n_lines", "long").add("n_deleted", "long")
+    schema = docs.select(*[f"`{c}`" for c in columns]).schema.add("n_lines", "long").add("n_deleted", "long")
 
     def cut(batches):
         for batch in batches:
@@ -194,4 +195,4 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield pa.record_batch([*kept, pa.array(counts, pa.int64()), pa.array(deleted, pa.int64())],
                                   names=[*columns, "n_lines", "n_deleted"])
 
-    return joined.select(*[F.col(f"l.{c}") for c in columns], "r.runs").mapInArrow(cut, schema)
+    return joined.select("l.row.*", "r.runs").mapInArrow(cut, schema)
