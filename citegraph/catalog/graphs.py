@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citegraph.catalog import query
-from citegraph.catalog.networks import CO_CITATION_SQL, co_cited_parts
+from citegraph.catalog.networks import CO_CITATION_SQL, co_cited_parts, keyword_cooccurrence
 from citegraph.operators.graph import metrics
 from citegraph.operators.graph.components import (
     connected_components, keep_vertices, main_component,
@@ -16,53 +16,46 @@ from citegraph.operators.graph.leading_eigenvector import leading_eigenvector
 from citegraph.operators.graph.louvain import louvain, nested_louvain
 from citegraph.operators.graph.walktrap import walktrap
 from citegraph.plans import adapters as a
-from citegraph.plans.adapters import with_views
+from citegraph.plans.adapters import table, with_views
 from citegraph.scratch import Scratch
 
-# Results shared between queries of one session, as scratch tables.
-_KEPT: dict = {}
 
+def co_citation_links(spark, sf_dir):
+    """The whole co-citation network."""
+    return Scratch(spark, "links").save(
+        co_cited_parts(spark, sf_dir).select("src", "dst", "weight"))
 
-def _keep(spark, sf_dir, name, build):
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _KEPT:
-        _KEPT[key] = Scratch(spark, name).save(build())
-    return _KEPT[key]
 
+def keyword_links(spark, sf_dir):
+    """The main component of the keyword network."""
+    links = Scratch(spark, "links").save(keyword_cooccurrence(spark, sf_dir).select("src", "dst"))
+    return keep_vertices(links, main_component(links))
 
-def strong_links(spark, sf_dir):
-    """Parts that share at least two orders."""
-    return co_cited_parts(spark, sf_dir).where("weight >= 2").select("src", "dst", "weight")
 
+BOTH_SQL = f"""
+    links AS (SELECT src, dst, weight FROM ({CO_CITATION_SQL})),
+    both_ways AS (SELECT src, dst, weight FROM links
+                  UNION ALL SELECT dst, src, weight FROM links)"""
 
-def main_links(spark, sf_dir):
-    """The main component of the strong links."""
-    def build():
-        links = Scratch(spark, "strong").save(strong_links(spark, sf_dir))
-        return keep_vertices(links, main_component(links))
 
-    return _keep(spark, sf_dir, "main_links", build)
-
-
-STRONG_SQL = f"""
-    strong AS (SELECT src, dst, weight FROM ({CO_CITATION_SQL}) WHERE weight >= 2),
-    both_ways AS (SELECT src, dst, weight FROM strong
-                  UNION ALL SELECT dst, src, weight FROM strong)"""
-
-REACH_SQL = f"""RECURSIVE {{views}} {STRONG_SQL},
-    reach AS (SELECT src AS id, src AS root FROM both_ways
-      UNION SELECT e.dst, r.root FROM reach r JOIN both_ways e ON e.src = r.id),
-    components AS (SELECT id, min(root) AS component FROM reach GROUP BY id)"""
+def _components_sql(rounds: int = 8) -> str:
+    """Smallest label within ``rounds`` links of every vertex; the network is far less deep."""
+    text = "c0 AS MATERIALIZED (SELECT DISTINCT src AS id, src AS component FROM both_ways)"
+    for i in range(rounds):
+        text += f""",
+    c{i + 1} AS MATERIALIZED (SELECT id, min(component) AS component FROM (
+      SELECT * FROM c{i} UNION ALL
+      SELECT e.src, c.component FROM both_ways e JOIN c{i} c ON c.id = e.dst) GROUP BY id)"""
+    return text + f", components AS (SELECT * FROM c{rounds})"
 
 
 def _recursive(body: str) -> str:
-    views = "order_part_links AS (" + a.VIEWS["order_part_links"] + "),"
-    return "WITH " + REACH_SQL.replace("{views}", views) + body
+    return with_views("order_part_links", f"WITH {BOTH_SQL}, {_components_sql()}{body}")
 
 
 @query("connected_components", _recursive(" SELECT id, component FROM components"))
 def components(spark, sf_dir):
-    return connected_components(Scratch(spark, "strong").save(strong_links(spark, sf_dir)))
+    return connected_components(co_citation_links(spark, sf_dir))
 
 
 LARGEST_SQL = """,
@@ -73,24 +66,24 @@ LARGEST_SQL = """,
 
 @query("main_component", _recursive(LARGEST_SQL + " SELECT id FROM main"))
 def main_component_vertices(spark, sf_dir):
-    return main_component(Scratch(spark, "strong").save(strong_links(spark, sf_dir)))
+    return main_component(co_citation_links(spark, sf_dir))
 
 
 @query("first_component", _recursive(
     " SELECT id FROM components WHERE component = (SELECT min(component) FROM components)"))
 def first_component_vertices(spark, sf_dir):
-    return main_component(Scratch(spark, "strong").save(strong_links(spark, sf_dir)), "first")
+    return main_component(co_citation_links(spark, sf_dir), "first")
 
 
 # --- measures --------------------------------------------------------------------
 
 
-@query("edge_density", with_views("order_part_links", f"""WITH {STRONG_SQL}
+@query("edge_density", with_views("order_part_links", f"""WITH {BOTH_SQL}
     SELECT n_vertices, n_edges, round(2.0 * n_edges / (n_vertices * (n_vertices - 1)), 6) AS density
     FROM (SELECT count(DISTINCT src) AS n_vertices FROM both_ways),
-         (SELECT count(*) AS n_edges FROM strong)"""))
+         (SELECT count(*) AS n_edges FROM links)"""))
 def edge_density(spark, sf_dir):
-    row = metrics.edge_density(strong_links(spark, sf_dir))
+    row = metrics.edge_density(co_citation_links(spark, sf_dir))
     return row.withColumn("density", F.round("density", 6))
 
 
@@ -130,54 +123,58 @@ def _power_sql(rounds: int) -> str:
 
 
 @query("eigenvector_centrality", with_views("order_part_links", f"""
-    WITH {STRONG_SQL}, {_power_sql(20)}
+    WITH {BOTH_SQL}, {_power_sql(20)}
     SELECT id, round(x / (SELECT max(x) FROM v20), 6) AS centrality FROM v20"""))
 def eigenvector_centrality(spark, sf_dir):
-    scores = metrics.eigenvector_centrality(strong_links(spark, sf_dir), rounds=20)
+    scores = metrics.eigenvector_centrality(co_citation_links(spark, sf_dir))
     return scores.select("id", F.round("centrality", 6).alias("centrality"))
 
 
-@query("closeness", _recursive(LARGEST_SQL + """,
-    edges AS (SELECT src, dst FROM both_ways WHERE src IN (SELECT id FROM main)),
-    walk(origin, id, d) AS (SELECT id, id, 0 FROM main
-      UNION SELECT w.origin, e.dst, w.d + 1 FROM walk w JOIN edges e ON e.src = w.id
-      WHERE w.d < 16),
-    near AS (SELECT origin, id, min(d) AS d FROM walk GROUP BY origin, id)
-    SELECT id, CAST(sum(d) AS BIGINT) AS farness, count(*) - 1 AS reached,
-           round(1.0 / sum(d), 9) AS closeness FROM near GROUP BY id"""))
+# All shortest paths of the keyword network, level by level; deeper than it is.
+DEPTH = 8
+
+
+def _paths_sql() -> str:
+    text = """
+    pairs AS (SELECT DISTINCT x.keyword AS src, y.keyword AS dst FROM part_keywords x
+      JOIN part_keywords y ON y.ut = x.ut AND y.keyword <> x.keyword
+      WHERE x.keyword <> 'NULL' AND y.keyword <> 'NULL'),
+    p0 AS MATERIALIZED (SELECT DISTINCT src AS a, src AS b, 0 AS d, CAST(1 AS DOUBLE) AS paths FROM pairs),
+    s0 AS (SELECT * FROM p0)"""
+    for i in range(1, DEPTH + 1):
+        text += f""",
+    p{i} AS MATERIALIZED (SELECT n.* FROM (SELECT p.a, e.dst AS b, {i} AS d, sum(p.paths) AS paths
+        FROM p{i - 1} p JOIN pairs e ON e.src = p.b GROUP BY p.a, e.dst) n
+      WHERE NOT EXISTS (SELECT 1 FROM s{i - 1} s WHERE s.a = n.a AND s.b = n.b)),
+    s{i} AS MATERIALIZED (SELECT * FROM s{i - 1} UNION ALL SELECT * FROM p{i})"""
+    return text + f""",
+    root AS (SELECT b AS id, min(a) AS component FROM s{DEPTH} GROUP BY b),
+    main AS (SELECT id FROM root WHERE component = (SELECT component FROM root
+      GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)),
+    paths AS MATERIALIZED (SELECT s.* FROM s{DEPTH} s WHERE a IN (SELECT id FROM main))"""
+
+
+@query("closeness", with_views("part_keywords", f"""WITH {_paths_sql()}
+    SELECT a AS id, CAST(sum(d) AS BIGINT) AS farness, count(*) - 1 AS reached,
+           round(1.0 / sum(d), 9) AS closeness FROM paths GROUP BY a"""))
 def closeness(spark, sf_dir):
-    scores = metrics.closeness(main_links(spark, sf_dir))
+    scores = metrics.closeness(keyword_links(spark, sf_dir))
     return scores.withColumn("closeness", F.round("closeness", 9))
 
 
-@query("betweenness")
+@query("betweenness", with_views("part_keywords", f"""WITH {_paths_sql()},
+    through AS (SELECT v.b AS id, sum(v.paths * w.paths / t.paths) AS score
+      FROM paths v JOIN paths w ON w.a = v.b JOIN paths t ON t.a = v.a AND t.b = w.b
+      WHERE v.d > 0 AND w.d > 0 AND t.d = v.d + w.d AND v.a < w.b GROUP BY v.b)
+    SELECT m.id, round(coalesce(score, 0), 4) AS betweenness
+    FROM main m LEFT JOIN through t ON t.id = m.id"""))
 def betweenness(spark, sf_dir):
-    scores = metrics.betweenness(main_links(spark, sf_dir))
+    scores = metrics.betweenness(keyword_links(spark, sf_dir))
     return scores.select("id", F.round("betweenness", 4).alias("betweenness"))
 
 
 # --- communities -------------------------------------------------------------------
 
-
-def _label_rounds_sql(rounds: int) -> str:
-    text = "s0 AS MATERIALIZED (SELECT DISTINCT src AS id, src AS label FROM both_ways)"
-    for i in range(rounds):
-        text += f""",
-    s{i + 1} AS MATERIALIZED (SELECT s.id, CASE WHEN substring(md5(concat(s.id, ':', {i})), 1, 1)
-        < '8' THEN b.label ELSE s.label END AS label
-      FROM s{i} s JOIN (SELECT id, label FROM (SELECT e.src AS id, s.label, row_number() OVER (
-          PARTITION BY e.src ORDER BY count(*) DESC, s.label) AS rk
-        FROM both_ways e JOIN s{i} s ON s.id = e.dst GROUP BY e.src, s.label) WHERE rk = 1) b
-      ON b.id = s.id)"""
-    return text
-
-
-@query("label_propagation", with_views("order_part_links", f"""
-    WITH {STRONG_SQL}, {_label_rounds_sql(6)} SELECT id, label AS community FROM s6"""))
-def label_propagation_communities(spark, sf_dir):
-    return label_propagation(strong_links(spark, sf_dir), rounds=6)
-
-
 DETECTORS = {
     "louvain": lambda e: louvain(e, None).select("id", "community"),
     "label_propagation": lambda e: label_propagation(e),
@@ -186,39 +183,73 @@ DETECTORS = {
     "walktrap": lambda e: walktrap(e),
 }
 
+# The planted communities, named by their smallest member.
+NATIONS_SQL = with_views("placed_customers", """
+    SELECT id, min(id) OVER (PARTITION BY nation) AS community FROM placed_customers""")
+
+
+def _planted(spark, sf_dir):
+    return Scratch(spark, "planted").save(a.nation_network(spark, sf_dir))
+
 
 def _detected(spark, sf_dir, name: str):
-    links = main_links(spark, sf_dir)
-    return _keep(spark, sf_dir, f"found_{name}", lambda: DETECTORS[name](links))
+    """Communities of the planted network, named by their smallest member."""
+    found = Scratch(spark, name).save(DETECTORS[name](_planted(spark, sf_dir)))
+    names = found.groupBy("community").agg(F.min("id").alias("name"))
+    return found.join(names, "community").select("id", F.col("name").alias("community"))
 
 
-@query("louvain_communities")
+@query("louvain_communities", NATIONS_SQL)
 def louvain_communities(spark, sf_dir):
     return _detected(spark, sf_dir, "louvain")
 
 
-@query("leading_eigenvector_communities")
+@query("label_propagation", NATIONS_SQL)
+def label_propagation_communities(spark, sf_dir):
+    return _detected(spark, sf_dir, "label_propagation")
+
+
+@query("leading_eigenvector_communities", NATIONS_SQL)
 def leading_eigenvector_communities(spark, sf_dir):
     return _detected(spark, sf_dir, "leading_eigenvector")
 
 
-@query("greedy_modularity_communities")
+@query("greedy_modularity_communities", NATIONS_SQL)
 def greedy_modularity_communities(spark, sf_dir):
     return _detected(spark, sf_dir, "greedy_modularity")
 
 
-@query("walktrap_communities")
+@query("walktrap_communities", NATIONS_SQL)
 def walktrap_communities(spark, sf_dir):
     return _detected(spark, sf_dir, "walktrap")
 
 
-@query("compare_modularity")
+@query("compare_modularity", with_views("placed_customers nation_order nation_network", f"""
+    WITH placed AS (SELECT x.nation AS p, y.nation AS q FROM (
+        SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM nation_network) e
+      JOIN placed_customers x ON x.id = e.src JOIN placed_customers y ON y.id = e.dst),
+    ends AS (SELECT p AS c, 1.0 AS k, CASE WHEN p = q THEN 1.0 ELSE 0 END AS w FROM placed
+      UNION ALL SELECT q, 1.0, 0 FROM placed),
+    sums AS (SELECT c, sum(k) AS k, sum(w) AS w FROM ends GROUP BY c)
+    SELECT algorithm, n_communities, modularity FROM (SELECT count(*) AS n_communities,
+        round(2 * sum(w) / sum(k) - sum(k * k) / (sum(k) * sum(k)), 6) AS modularity FROM sums),
+      unnest([{', '.join(repr(d) for d in DETECTORS)}]) AS t(algorithm)"""))
 def compare_modularity(spark, sf_dir):
     found = {name: _detected(spark, sf_dir, name) for name in DETECTORS}
-    return metrics.compare_modularity(main_links(spark, sf_dir), found, None)
+    rows = metrics.compare_modularity(_planted(spark, sf_dir), found, None)
+    return rows.withColumn("modularity", F.round("modularity", 6))
 
 
-@query("nested_louvain")
+@query("nested_louvain", with_views("placed_customers", """
+    SELECT id AS ut, min(id) OVER (PARTITION BY region) AS macro_cluster,
+           min(id) OVER (PARTITION BY nation) AS meso_cluster FROM placed_customers"""))
 def nested_clusters(spark, sf_dir):
-    articles = a.parts(spark, sf_dir).select("ut")
-    return nested_louvain(articles, strong_links(spark, sf_dir))
+    """Regions and nations, each named by its smallest member."""
+    links = Scratch(spark, "planted").save(a.region_network(spark, sf_dir))
+    articles = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ut"))
+    levels = ("macro_cluster", "meso_cluster")
+    found = Scratch(spark, "nested").save(nested_louvain(articles, links, levels))
+    for level in levels:
+        names = found.groupBy(level).agg(F.min("ut").alias("_name"))
+        found = found.join(names, level).drop(level).withColumnRenamed("_name", level)
+    return found.select("ut", *levels)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from citegraph import fixed_values as fixed
 from citegraph.catalog import query
 from citegraph.operators import networks as net
 from citegraph.operators.text import term_counts, tf_idf
@@ -78,9 +79,9 @@ def keyword_scores(spark, sf_dir):
     SELECT x.ut AS src, y.ut AS dst, round(sum((x.tf_idf + y.tf_idf) / 2), 6) AS weight,
            'undirected' AS type
     FROM scores x JOIN scores y ON y.word = x.word AND y.ut <> x.ut
-    GROUP BY x.ut, y.ut HAVING sum((x.tf_idf + y.tf_idf) / 2) >= 1.0"""))
+    GROUP BY x.ut, y.ut HAVING sum((x.tf_idf + y.tf_idf) / 2) >= 0.5"""))
 def text_similarity_network(spark, sf_dir):
-    edges = net.text_similarity_network(keyword_scores(spark, sf_dir), min_weight=1.0)
+    edges = net.text_similarity_network(keyword_scores(spark, sf_dir), min_weight=fixed.MIN_SIMILARITY)
     return edges.withColumn("weight", F.round("weight", 6))
 
 
@@ -88,7 +89,7 @@ def text_similarity_network(spark, sf_dir):
     WITH e AS (SELECT x.citing_ut AS src, y.citing_ut AS dst, count(*) AS weight
       FROM order_part_links x JOIN order_part_links y
         ON y.cited_ut = x.cited_ut AND y.citing_ut <> x.citing_ut
-      GROUP BY x.citing_ut, y.citing_ut HAVING count(*) >= 2)
+      GROUP BY x.citing_ut, y.citing_ut)
     SELECT p.name AS src, q.name AS dst, CAST(sum(weight) AS BIGINT) AS weight,
            'undirected' AS type
     FROM e JOIN people p ON p.id_art = e.src
@@ -96,7 +97,7 @@ def text_similarity_network(spark, sf_dir):
 def projected_network(spark, sf_dir):
     coupled = net.bibliographic_coupling(
         a.orders_as_papers(spark, sf_dir), a.order_part_links(spark, sf_dir)
-    ).where("weight >= 2")
+    )
     return net.project_network(net.both_directions(coupled), a.people(spark, sf_dir))
 
 

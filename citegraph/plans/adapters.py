@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from citegraph import fixed_values as fixed
 from citegraph.functions.text import words
+from citegraph.scratch import number_rows
 
 #: Components of every vector of the given table.
 TOPICS = 64
@@ -177,6 +178,43 @@ def vector_labels(spark, sf_dir) -> DataFrame:
     )
 
 
+#: How far on in its order a customer is linked within its nation, or within its region.
+NEAR, WIDE = (1, 2, 3, 5, 8, 13, 21, 34, 4, 7, 11, 18), (1, 2, 3, 5, 8, 13, 21, 34, 55, 89)
+
+
+def _ring(customers: DataFrame, group: str, order: list, offsets) -> DataFrame:
+    """Customers linked to those some places on in an order, inside their group; the next one
+    is linked also across groups, which connects the groups in a chain."""
+    numbered = number_rows(customers, order, "n").select("id", F.col(group).alias("g"), "n")
+    on = numbered.select(
+        F.col("id").alias("src"), "g", F.explode(F.array(*map(F.lit, offsets))).alias("o"), "n")
+    to = numbered.select(F.col("id").alias("dst"), F.col("g").alias("to_g"), F.col("n").alias("to_n"))
+    return on.join(to, F.col("n") + F.col("o") == F.col("to_n")).where(
+        (F.col("g") == F.col("to_g")) | (F.col("o") == 1)).select("src", "dst")
+
+
+def _placed_customers(spark, sf_dir) -> DataFrame:
+    nation = table(spark, sf_dir, "nation")
+    customer = table(spark, sf_dir, "customer")
+    return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_custkey").alias("id"), F.col("n_regionkey").alias("region"),
+        F.col("n_nationkey").alias("nation"), F.md5(F.col("c_custkey").cast("string")).alias("h"))
+
+
+def nation_network(spark, sf_dir) -> DataFrame:
+    """Planted communities: customers of a nation are linked, neighbouring nations by one link."""
+    rows = _placed_customers(spark, sf_dir)
+    return _ring(rows, "nation", ["nation", "h"], NEAR).withColumn("weight", F.lit(1.0))
+
+
+def region_network(spark, sf_dir) -> DataFrame:
+    """Planted hierarchy: links inside nations and, more widely, inside regions."""
+    rows = _placed_customers(spark, sf_dir)
+    both = _ring(rows, "nation", ["region", "nation", "h"], NEAR).where("src <> dst").unionAll(
+        _ring(rows, "region", ["region", "h"], WIDE))
+    return both.withColumn("weight", F.lit(1.0))
+
+
 WORD = fixed.WORD_PATTERN.replace("'", "''")
 
 # SQL twins of the adapters above, as (name, body) of common table expressions.
@@ -226,6 +264,16 @@ VIEWS = {
         FROM orders JOIN customer ON o_custkey = c_custkey""",
     "order_clusters": """
         SELECT o_orderkey AS id_art, o_orderpriority AS cluster FROM orders""",
+    "placed_customers": """
+        SELECT c_custkey AS id, n_regionkey AS region, n_nationkey AS nation
+        FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+    "nation_order": """
+        SELECT id, nation, row_number() OVER (ORDER BY nation, md5(CAST(id AS VARCHAR))) AS n
+        FROM placed_customers""",
+    "nation_network": f"""
+        SELECT x.id AS src, y.id AS dst, CAST(1 AS DOUBLE) AS weight
+        FROM nation_order x, unnest([{', '.join(map(str, NEAR))}]) AS r(o)
+        JOIN nation_order y ON y.n = x.n + r.o WHERE x.nation = y.nation OR r.o = 1""",
     "affiliations": """
         SELECT p_partkey AS id_art, p_name AS Title, p_size AS Year,
                p_brand || ' ' || p_type AS Affiliation FROM part""",
