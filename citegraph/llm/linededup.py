@@ -173,7 +173,8 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # In a struct the columns of ``docs`` cannot clash with the keys of the join.
     left = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"),
                        _text_key().alias("key"), F.col("doc_id").cast("long").alias("id")).alias("l")
-    joined = left.join(cuts.alias("r"), (F.col("l.id").eqNullSafe(F.col("r.doc_id")))
+    # A sorted join at every size: the cuts grow with the texts.
+    joined = left.join(cuts.hint("merge").alias("r"), (F.col("l.id").eqNullSafe(F.col("r.doc_id")))
                        & (F.col("l.key") == F.col("r.text_key")), "left")
     at = columns.index("text")
     schema = docs.select(*[f"`{c}`" for c in columns]).schema.add("n_lines", "long").add("n_deleted", "long")

@@ -161,14 +161,15 @@ def with_revisits(pages: DataFrame, record_id: Column, url: Column, payload: Col
         record_id.cast("long").alias("record_id"), url.cast("string").alias("url"),
         text.alias("payload"), F.octet_length(text).cast("long").alias("payload_bytes"),
         F.sha2(text.cast("binary"), 256).alias("payload_digest"))
-    # Only payloads that occur more than once: few rows, counted before they are shuffled.
-    # Read back as a table they have a measured size, by which Spark picks the join.
+    # Only payloads that occur more than once, counted before they are shuffled.  They grow
+    # with the pages, so the join is a sorted one; read back as a table, neither side comes
+    # dealt by digest, and adaptive execution can split a digest that many pages have.
     repeated = scratch.save(
         records.where(F.col("payload_bytes") >= MIN_REVISIT_BYTES).groupBy("payload_digest")
         .agg(F.min("record_id").alias("first"), F.count(F.lit(1)).alias("copies"))
         .where("copies > 1 and first is not null").select("payload_digest", "first"))
     revisit = F.col("first").isNotNull() & ~F.col("record_id").eqNullSafe(F.col("first"))
-    return records.join(repeated, "payload_digest", "left").select(
+    return records.join(repeated.hint("merge"), "payload_digest", "left").select(
         "record_id", "url", "payload", "payload_bytes", "payload_digest",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(revisit, F.col("first")).alias("refers_to"))

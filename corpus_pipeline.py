@@ -53,7 +53,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         F.col("doc_id").cast("long").alias("id"), jaccard.text_key().alias("key")).alias("l")
     same = F.col("l.id").eqNullSafe(F.col("r.id")) & (F.col("l.key") == F.col("r.key"))
     # Rows that repeat id and text are one document.
-    chosen = keyed.join(kept.alias("r"), same, "left_semi").dropDuplicates(["id", "key"])
+    chosen = keyed.join(kept.hint("merge").alias("r"), same, "left_semi").dropDuplicates(["id", "key"])
     wordless = docs.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
     return chosen.select("row.*").unionAll(wordless)
 
