@@ -176,11 +176,11 @@ def betweenness(spark, sf_dir):
 # --- communities -------------------------------------------------------------------
 
 DETECTORS = {
-    "louvain": lambda e: louvain(e, None).select("id", "community"),
-    "label_propagation": lambda e: label_propagation(e),
-    "leading_eigenvector": lambda e: leading_eigenvector(e),
-    "greedy_modularity": lambda e: greedy_modularity(e),
-    "walktrap": lambda e: walktrap(e),
+    "louvain": lambda e: louvain(e).select("id", "community"),
+    "label_propagation": lambda e: label_propagation(e, "weight"),
+    "leading_eigenvector": lambda e: leading_eigenvector(e, "weight"),
+    "greedy_modularity": lambda e: greedy_modularity(e, "weight"),
+    "walktrap": lambda e: walktrap(e, weight_col="weight"),
 }
 
 # The planted communities, named by their smallest member.
@@ -225,18 +225,18 @@ def walktrap_communities(spark, sf_dir):
 
 
 @query("compare_modularity", with_views("placed_customers nation_order nation_network", f"""
-    WITH placed AS (SELECT x.nation AS p, y.nation AS q FROM (
-        SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM nation_network) e
+    WITH placed AS (SELECT x.nation AS p, y.nation AS q, CAST(weight AS DOUBLE) AS weight
+      FROM nation_network e
       JOIN placed_customers x ON x.id = e.src JOIN placed_customers y ON y.id = e.dst),
-    ends AS (SELECT p AS c, 1.0 AS k, CASE WHEN p = q THEN 1.0 ELSE 0 END AS w FROM placed
-      UNION ALL SELECT q, 1.0, 0 FROM placed),
+    ends AS (SELECT p AS c, weight AS k, CASE WHEN p = q THEN weight ELSE 0 END AS w FROM placed
+      UNION ALL SELECT q, weight, 0 FROM placed),
     sums AS (SELECT c, sum(k) AS k, sum(w) AS w FROM ends GROUP BY c)
     SELECT algorithm, n_communities, modularity FROM (SELECT count(*) AS n_communities,
         round(2 * sum(w) / sum(k) - sum(k * k) / (sum(k) * sum(k)), 6) AS modularity FROM sums),
       unnest([{', '.join(repr(d) for d in DETECTORS)}]) AS t(algorithm)"""))
 def compare_modularity(spark, sf_dir):
     found = {name: _detected(spark, sf_dir, name) for name in DETECTORS}
-    rows = metrics.compare_modularity(_planted(spark, sf_dir), found, None)
+    rows = metrics.compare_modularity(_planted(spark, sf_dir), found)
     return rows.withColumn("modularity", F.round("modularity", 6))
 
 

@@ -179,18 +179,21 @@ def vector_labels(spark, sf_dir) -> DataFrame:
 
 
 #: How far on in its order a customer is linked within its nation, or within its region.
+BRIDGE = 0.05
 NEAR, WIDE = (1, 2, 3, 5, 8, 13, 21, 34, 4, 7, 11, 18), (1, 2, 3, 5, 8, 13, 21, 34, 55, 89)
 
 
 def _ring(customers: DataFrame, group: str, order: list, offsets) -> DataFrame:
     """Customers linked to those some places on in an order, inside their group; the next one
-    is linked also across groups, which connects the groups in a chain."""
+    is linked also across groups, lightly, which connects the groups in a chain."""
     numbered = number_rows(customers, order, "n").select("id", F.col(group).alias("g"), "n")
     on = numbered.select(
         F.col("id").alias("src"), "g", F.explode(F.array(*map(F.lit, offsets))).alias("o"), "n")
     to = numbered.select(F.col("id").alias("dst"), F.col("g").alias("to_g"), F.col("n").alias("to_n"))
+    inside = F.col("g") == F.col("to_g")
     return on.join(to, F.col("n") + F.col("o") == F.col("to_n")).where(
-        (F.col("g") == F.col("to_g")) | (F.col("o") == 1)).select("src", "dst")
+        inside | (F.col("o") == 1)).select(
+        "src", "dst", F.when(inside, 1.0).otherwise(BRIDGE).alias("weight"))
 
 
 def _placed_customers(spark, sf_dir) -> DataFrame:
@@ -204,15 +207,14 @@ def _placed_customers(spark, sf_dir) -> DataFrame:
 def nation_network(spark, sf_dir) -> DataFrame:
     """Planted communities: customers of a nation are linked, neighbouring nations by one link."""
     rows = _placed_customers(spark, sf_dir)
-    return _ring(rows, "nation", ["nation", "h"], NEAR).withColumn("weight", F.lit(1.0))
+    return _ring(rows, "nation", ["nation", "h"], NEAR)
 
 
 def region_network(spark, sf_dir) -> DataFrame:
     """Planted hierarchy: links inside nations and, more widely, inside regions."""
     rows = _placed_customers(spark, sf_dir)
-    both = _ring(rows, "nation", ["region", "nation", "h"], NEAR).where("src <> dst").unionAll(
+    return _ring(rows, "nation", ["region", "nation", "h"], NEAR).unionAll(
         _ring(rows, "region", ["region", "h"], WIDE))
-    return both.withColumn("weight", F.lit(1.0))
 
 
 WORD = fixed.WORD_PATTERN.replace("'", "''")
@@ -271,7 +273,8 @@ VIEWS = {
         SELECT id, nation, row_number() OVER (ORDER BY nation, md5(CAST(id AS VARCHAR))) AS n
         FROM placed_customers""",
     "nation_network": f"""
-        SELECT x.id AS src, y.id AS dst, CAST(1 AS DOUBLE) AS weight
+        SELECT x.id AS src, y.id AS dst,
+               CASE WHEN x.nation = y.nation THEN 1.0 ELSE {BRIDGE} END AS weight
         FROM nation_order x, unnest([{', '.join(map(str, NEAR))}]) AS r(o)
         JOIN nation_order y ON y.n = x.n + r.o WHERE x.nation = y.nation OR r.o = 1""",
     "affiliations": """

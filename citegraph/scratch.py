@@ -8,6 +8,8 @@ be deleted as soon as the next one is complete.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,16 +20,35 @@ _LOCAL_ROOTS: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared scratch folder; a local one is made only for local masters."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
+    """This application's folder in the shared scratch folder.
+
+    That is ``spark.checkpoint.dir``, or what ``setCheckpointDir`` was given; a local one is
+    made only for local masters, and goes when Python ends.
+    """
     context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    if context.applicationId not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="citegraph-")
-    return _LOCAL_ROOTS[context.applicationId]
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        given = context._jsc.sc().getCheckpointDir()
+        root = given.get() if given.isDefined() else None
+    if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        if context.applicationId not in _LOCAL_ROOTS:
+            folder = tempfile.mkdtemp(prefix="citegraph-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _LOCAL_ROOTS[context.applicationId] = folder
+        root = _LOCAL_ROOTS[context.applicationId]
+    return f"{root.rstrip('/')}/citegraph-{context.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application; results that read them end with them."""
+    _delete(spark, scratch_root(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 class Scratch:
@@ -65,10 +86,7 @@ class Scratch:
         if id(table) not in self._tables:
             return
         _, path = self._tables.pop(id(table))
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        conf = self.spark._jsc.hadoopConfiguration()
-        target.getFileSystem(conf).delete(target, True)
+        _delete(self.spark, path)
 
 
 def number_rows(df: DataFrame, order: list, name: str) -> DataFrame:
