@@ -12,6 +12,7 @@ from citegraph.llm import (
     langid,
     licenses,
     linededup,
+    oracles,
     packing,
     rules,
     sharding,
@@ -43,18 +44,7 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-@query("op1_warc_bundles", """
-    WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
-    d AS (SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_digest
-          FROM p),
-    f AS (SELECT *, CASE WHEN payload_bytes >= 100
-                    THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id FROM d)
-    SELECT page_id, payload_bytes, payload_digest,
-           CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id
-                THEN 'revisit' ELSE 'response' END AS record_type,
-           CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id
-                THEN first_id END AS refers_to
-    FROM f""")
+@query("op1_warc_bundles", oracles.WARC)
 def op1(spark, sf_dir):
     return warc.archived_pages(table(spark, sf_dir, "pages"))
 
@@ -64,12 +54,13 @@ def op2(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op3_ngram_jaccard_join")
+@query("op3_ngram_jaccard_join", oracles.JACCARD)
 def op3(spark, sf_dir):
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id")
 
 
-@query("op4_risk_controlled_rules")
+@query("op4_risk_controlled_rules", oracles.RULES)
 def op4(spark, sf_dir):
     return rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -94,7 +85,7 @@ def op8(spark, sf_dir):
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
-@query("op9_line_dedup")
+@query("op9_line_dedup", oracles.LINES)
 def op9(spark, sf_dir):
     return linededup.without_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_deleted", "text")
