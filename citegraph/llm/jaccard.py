@@ -5,20 +5,24 @@ A document is its set of distinct 5-word shingles; two link when
 
 1. ``shingle_classes``: every text becomes its set; equal sets (all copies) become
    one class, and only classes go on.
-2. ``shared_sets``: a linked pair has at least 80 % of either set in common, so a
-   class is a candidate only if 80 % of its shingles occur in another class.  The
-   shingles are dealt by hash in packed blocks, and only the shared ones come back
-   to their class.  This is exact and leaves everything that occurs once behind.
+2. ``shared_sets``: a linked pair has at least 80 % of either set in common, so a class is a
+   candidate only if 80 % of its shingles occur in another class.  Of any 30 % of a class's
+   shingles a third must then occur elsewhere; the 30 % with the smallest hashes are tried
+   first, and all shingles only of classes that pass.  Shingles are dealt by hash in packed
+   blocks, and only the shared ones come back to their class.  This is exact and leaves
+   everything that occurs once behind.
 3. ``signatures``: the shared shingles are XOR-hashed into a bit sketch.  The Hamming
    distance of two sketches is at most the symmetric difference, which a link bounds by
-   ``(|A| + |B|) / 9``.  A sketch of size band j has more than half as many groups of
-   four 64-bit words as that bound, so by the pigeonhole principle some group differs in
-   at most one bit and agrees in three of its words: one key per omitted word.
-4. Pairs that share a key are verified on the sets.  A bucket with many pairs is not
-   expanded: each member meets the bucket's leader, linked classes become one component, and
-   in the next turn only pairs across components count.  A bucket with few of those per
-   member is expanded and done.  If leaders no longer merge anything, the pairs across
-   components of all open buckets are verified, so that no link between components is lost.
+   ``(|A| + |B|) / 9``.  A sketch of size band j has more than a third as many groups of
+   six 64-bit words as that bound, so by the pigeonhole principle some group differs in
+   at most two bits and agrees in four of its words: one key per two omitted words.
+4. ``linked_components``: the members of a key's bucket meet its first member.  Pairs that
+   meet in several buckets make clusters; pairs that meet in fewer relate two clusters.  A
+   cluster is first compared with a few of its members, block by block; what is then not in its
+   largest component is compared with all of it, and related clusters with each other.  A
+   comparison bounds the difference by a sketch and verifies the sets unless the two are in
+   one component already.  So every pair that shares a key is either in one component or
+   compared, and no link between components is lost.
 
 Sets are compared by 64-bit shingle hashes and, after step 2, by 48 of these bits within
 a pair.
@@ -26,6 +30,8 @@ a pair.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,14 +45,18 @@ from citegraph.scratch import Scratch
 BUCKET_SHINGLES = 1_000_000
 #: Shingles that a task gathers before it sends blocks.
 FLUSH_SHINGLES = 1_000_000
-GROUP_WORDS = 4
-#: Pairs per member up to which a bucket is expanded at once.
-EXPAND = 12
-#: Leaders that a group of near copies meets in one turn.
+#: Bits of the filter of classes that passed the first trial; its size does not depend on the
+#: data.  A class that passes it wrongly is tried on all its shingles and left then.
+FILTER_BITS = 1 << 24
+GROUP_WORDS, OMITTED = 6, 2
+#: Buckets in which two classes meet to be put into one cluster.
+MEETINGS = 3
+#: Members that a cluster is compared with first.
 LEADERS = 8
-#: Pairs that a task gathers to drop repeated ones.
-FLUSH_PAIRS = 1_000_000
-LOW48 = np.uint64((1 << 48) - 1)
+#: Rows of a block on either side of a comparison.
+LEFT_BLOCK, RIGHT_BLOCK = 128, 64
+#: 64-bit words of the sketch that bounds a difference before sets are compared.
+SKETCH_WORDS = 16
 
 
 def text_key():
@@ -145,27 +155,53 @@ def _exchange(blocks: DataFrame, parts: int) -> DataFrame:
 
 def shared_sets(docs: DataFrame, buckets: int, parts: int, width: int = 5) -> DataFrame:
     """``(key, n, shared)``: classes of which 80 % of the shingles occur in another class."""
+    likely = _filter_of(_sharing(docs, None, buckets, parts, width, tried=0.3))
+    return _sharing(docs, likely, buckets, parts, width, tried=1.0)
+
+
+def _filter_of(passed: DataFrame) -> np.ndarray:
+    """Bits of the keys that passed; at most FILTER_BITS / 64 numbers reach the driver."""
+    bit = F.pmod("key", F.lit(FILTER_BITS))
+    rows = passed.groupBy(F.shiftright(bit, 6).alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(key, {FILTER_BITS}) % 64 as int))")).alias("bits"))
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    for row in rows.toLocalIterator():
+        words[row["word"]] = row["bits"]
+    return words.view(np.uint64)
+
+
+def _sharing(docs: DataFrame, likely: np.ndarray | None, buckets: int, parts: int, width: int,
+             tried: float) -> DataFrame:
+    """Classes that share enough of their ``tried`` smallest hashes; with those, if all are tried."""
+    def wanted(found: np.ndarray, key: int) -> np.ndarray:
+        if likely is not None:
+            bit = key % FILTER_BITS
+            if not int(likely[bit >> 6]) >> (bit & 63) & 1:
+                return found[:0]
+        return found if tried == 1.0 else found[:int(tried * len(found)) + 1]
+
     def send(batches):
         seen, keys, sizes, sets, held = set(), [], [], [], 0
 
         def packed():
             hashes = np.concatenate(sets)
-            lengths = np.array([len(s) for s in sets])
-            owner = np.repeat(np.arange(len(sets)), lengths)
-            bucket = ((hashes >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-            return _blocks(bucket, owner, np.array(keys, np.uint64), lengths, hashes)
+            owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            # Sorted prefixes leave the upper bits uneven, so buckets go by the mixed hash.
+            bucket = (T.mix(hashes) % np.uint64(buckets)).astype(np.int64)
+            return _blocks(bucket, owner, np.array(keys, np.uint64), np.array(sizes), hashes)
 
         for batch in batches:
             for words in T.row_words(batch.column(0)):
                 found = T.shingle_set(words, width)
                 key = _key_of(found)
-                if not len(found) or key in seen:
+                part = wanted(found, key)
+                if not len(part) or key in seen:
                     continue
                 seen.add(key)
                 keys.append(key)
                 sizes.append(len(found))
-                sets.append(found)
-                held += len(found)
+                sets.append(part)
+                held += len(part)
                 if held >= FLUSH_SHINGLES:
                     yield packed()
                     keys, sizes, sets, held = [], [], [], 0
@@ -200,10 +236,12 @@ def shared_sets(docs: DataFrame, buckets: int, parts: int, width: int = 5) -> Da
             for k in range(len(classes)):
                 own = np.unique(hashes[cuts[k]:cuts[k + 1]])
                 size = int(sizes[at[k]])
-                if 100 * len(own) >= 80 * size:
+                sent = size if tried == 1.0 else int(tried * size) + 1
+                # Of a set that links at most size / 5 shingles occur nowhere else.
+                if len(own) >= sent - size // 5:
                     rows[0].append(int(classes[k].view(np.int64)))
                     rows[1].append(size)
-                    rows[2].append(_narrow(own))
+                    rows[2].append(_narrow(own) if tried == 1.0 else b"")
             yield pa.record_batch([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()),
                                    pa.array(rows[2], pa.binary())], names=["key", "n", "shared"])
 
@@ -230,200 +268,260 @@ def sketch_words(hashes: np.ndarray, words: int) -> np.ndarray:
 
 
 def signature_keys(hashes: np.ndarray, size: int, starts: np.ndarray) -> np.ndarray:
-    """The pigeonhole keys of one set in its own band and in the next one up."""
+    """The pigeonhole keys of one set in its own band, and in the next one up if a linked set
+    can be there."""
     band = int(np.searchsorted(starts, size, side="right")) - 1
+    targets = [band] + ([band + 1] if 5 * size >= 4 * starts[band + 1] else [])
     found = []
-    for target in (band, band + 1):
-        top = starts[target + 1] - 1 if target + 1 < len(starts) else starts[target] * 5 // 4
-        bound = 2 * int(top) // 9
+    for target in targets:
+        bound = 2 * (int(starts[target + 1]) - 1) // 9
         if not bound:  # only equal sets could link, and they are one class already
             continue
-        groups = bound // 2 + 1
+        groups = bound // (OMITTED + 1) + 1
         parts = sketch_words(hashes, groups * GROUP_WORDS).reshape(groups, GROUP_WORDS)
         mixed = T.mix(parts ^ T.ROLES[:GROUP_WORDS])
         total = mixed.sum(axis=1, dtype=np.uint64)
-        place = (np.uint64(target) << np.uint64(40)) + np.arange(groups, dtype=np.uint64) * np.uint64(8)
-        for omitted in range(GROUP_WORDS):
-            found.append(T.mix(total - mixed[:, omitted] + T.mix(place + np.uint64(omitted))))
+        place = (np.uint64(target) << np.uint64(40)) + np.arange(groups, dtype=np.uint64) * np.uint64(32)
+        for number, (i, j) in enumerate(itertools.combinations(range(GROUP_WORDS), OMITTED)):
+            found.append(T.mix(total - mixed[:, i] - mixed[:, j] + T.mix(place + np.uint64(number))))
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
-def signatures(sets: DataFrame, turn: int) -> DataFrame:
-    """``(sig, ord, key, comp)`` of sets ``(key, n, shared, comp)``.
-
-    ``ord`` ranks the members of a bucket; it depends on the turn and on one of ``LEADERS``
-    classes of keys, so that different buckets of a group have different leaders.
-    """
-    masks = T.mix(np.arange(LEADERS, dtype=np.uint64) + np.uint64((turn + 1) * LEADERS))
-
+def signatures(sets: DataFrame) -> DataFrame:
+    """``(sig, key)`` of sets ``(key, n, shared)``."""
     def keys(batches):
         starts = band_starts(8)
         for batch in batches:
-            sigs, own, comps, held = [], [], [], 0
-            for key, size, packed, comp in zip(
-                    batch.column(0).to_pylist(), batch.column(1).to_pylist(),
-                    batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if starts[-2] <= size * 2:
-                    starts = band_starts(size * 4)
+            sigs, own, held = [], [], 0
+            for key, size, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
+                                         batch.column(2).to_pylist(), strict=True):
+                if starts[-2] <= size * 4:
+                    starts = band_starts(size * 16)
                 found = signature_keys(_widen(packed), size, starts)
                 sigs.append(found)
                 own.append(np.full(len(found), key, np.int64))
-                comps.append(np.full(len(found), comp, np.int64))
                 held += len(found)
                 if held > 200_000:
-                    yield rows(sigs, own, comps)
-                    sigs, own, comps, held = [], [], [], 0
+                    yield rows(sigs, own)
+                    sigs, own, held = [], [], 0
             if sigs:
-                yield rows(sigs, own, comps)
+                yield rows(sigs, own)
 
-    def rows(sigs, own, comps):
-        sig, key = np.concatenate(sigs), np.concatenate(own)
-        order = T.mix(key.view(np.uint64) ^ masks[(sig % np.uint64(LEADERS)).astype(np.int64)])
-        return pa.record_batch([pa.array(T.signed(sig)), pa.array(T.signed(order)), pa.array(key),
-                                pa.array(np.concatenate(comps))], names=["sig", "ord", "key", "comp"])
+    def rows(sigs, own):
+        return pa.record_batch([pa.array(T.signed(np.concatenate(sigs))),
+                                pa.array(np.concatenate(own))], names=["sig", "key"])
 
-    return sets.select("key", "n", "shared", "comp").mapInArrow(
-        keys, "sig long, ord long, key long, comp long")
+    return sets.select("key", "n", "shared").mapInArrow(keys, "sig long, key long")
 
 
-def candidate_pairs(rows: DataFrame, parts: int, expand: float) -> DataFrame:
-    """``(a, b)`` to verify, and ``(key, null)`` for members of buckets that stay open."""
-    def buckets(batches):
-        """Whole buckets of rows sorted by sig, a batch's worth at a time."""
-        rest = None
+def meetings(sets: DataFrame, parts: int) -> DataFrame:
+    """``(a, b, times)``: how many buckets have ``a`` as the first member and ``b`` as another."""
+    def stars(batches):
+        sig, leader = None, None
         for batch in batches:
-            now = np.stack([batch.column(k).to_numpy() for k in range(3)])
-            if rest is not None:
-                now = np.concatenate([rest, now], axis=1)
-            if not now.shape[1]:
+            if not batch.num_rows:
                 continue
-            last = int(np.searchsorted(now[0], now[0, -1]))
-            if last:
-                yield now[:, :last]
-            rest = now[:, last:]
-        if rest is not None and rest.shape[1]:
-            yield rest
-
-    def pair_up(batches):
-        held = Gathered()
-        for sig, key, comp in buckets(batches):
-            cuts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-            sizes = np.diff(cuts, append=len(sig))
-            mixed = np.minimum.reduceat(comp, cuts) != np.maximum.reduceat(comp, cuts)
-            for at, size in zip(cuts[mixed].tolist(), sizes[mixed].tolist(), strict=True):
-                held.add(*bucket_pairs(key[at:at + size], comp[at:at + size], expand))
-                if held.count >= FLUSH_PAIRS:
-                    yield held.flush()
-        yield held.flush()
-
-    placed = rows.repartition(parts, "sig").sortWithinPartitions("sig", "ord")
-    return placed.select("sig", "key", "comp").mapInArrow(pair_up, "a long, b long")
-
-
-class Gathered:
-    """Pairs and open keys of a task, each once per flush."""
+            sigs, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            first = np.concatenate([[sigs[0] != sig], sigs[1:] != sigs[:-1]])
+            place = np.maximum.accumulate(np.where(first, np.arange(len(sigs)), -1))
+            lead = np.where(place >= 0, keys[np.maximum(place, 0)], leader or 0)
+            sig, leader = sigs[-1], lead[-1]
+            other = ~first & (keys != lead)
+            yield pa.record_batch([pa.array(lead[other]), pa.array(keys[other])], names=["a", "b"])
+
+    placed = signatures(sets).repartition(parts, "sig").sortWithinPartitions("sig", "key")
+    return placed.mapInArrow(stars, "a long, b long").groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("times"))
+
+
+class Components:
+    """Which components one task has found linked."""
 
     def __init__(self):
-        self.pairs, self.open, self.count = [], [], 0
-
-    def add(self, pairs: np.ndarray, open_keys: np.ndarray) -> None:
-        self.pairs.append(pairs)
-        self.open.append(open_keys)
-        self.count += pairs.shape[1] + len(open_keys)
-        if self.count >= FLUSH_PAIRS:
-            self._once()
-
-    def _once(self) -> None:
-        pairs = np.concatenate(self.pairs, axis=1)
-        order = np.lexsort((pairs[1], pairs[0]))
-        pairs = pairs[:, order]
-        new = np.any(np.diff(pairs, axis=1, prepend=pairs[:, :1] - 1) != 0, axis=0)
-        self.pairs = [pairs[:, new]]
-        self.open = [np.unique(np.concatenate(self.open))]
-        self.count = self.pairs[0].shape[1] + len(self.open[0])
-
-    def flush(self) -> pa.RecordBatch:
-        if self.pairs:
-            self._once()
-            pairs, keys = self.pairs[0], self.open[0]
-        else:
-            pairs, keys = np.zeros((2, 0), np.int64), np.zeros(0, np.int64)
-        self.__init__()
-        a = pa.array(np.concatenate([pairs[0], keys]))
-        b = pa.concat_arrays([pa.array(pairs[1]), pa.nulls(len(keys), pa.int64())])
-        return pa.record_batch([a, b], names=["a", "b"])
-
-
-def bucket_pairs(key: np.ndarray, comp: np.ndarray, expand: float):
-    """Pairs across components of one bucket, all or with its leader only; its keys if open."""
-    size = len(key)
-    _, counts = np.unique(comp, return_counts=True)
-    across = (size * size - int((counts * counts).sum())) // 2
-    if across > expand * size:
-        others = key[comp != comp[0]]
-        pairs = np.stack([np.full(len(others), key[0]), others])
-        return np.stack([pairs.min(axis=0), pairs.max(axis=0)]), key
-    order = np.argsort(comp, kind="stable")
-    key, comp = key[order], comp[order]
-    ends = np.searchsorted(comp, comp, side="right")
-    left = np.repeat(np.arange(size), size - ends)
-    right = np.concatenate([np.arange(e, size) for e in ends]) if across else left
-    pairs = np.stack([key[left], key[right]])
-    return np.stack([pairs.min(axis=0), pairs.max(axis=0)]), key[:0]
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
-    """Pairs ``(a, b)`` whose sets link."""
-    def check(batches):
+        self.root: dict[int, int] = {}
+
+    def find(self, comp: int) -> int:
+        root = self.root
+        while (above := root.get(comp, comp)) != comp:
+            root[comp] = comp = root.get(above, above)
+        return comp
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.find(a), self.find(b)
+        self.root[max(a, b)] = min(a, b)
+
+
+def sketched(sets: DataFrame) -> DataFrame:
+    """``(key, n, alone, sketch)``: the sketch of the shared shingles, and how many are not."""
+    def sketch(batches):
         for batch in batches:
-            kept = []
-            for size_a, packed_a, size_b, packed_b in zip(
-                    *(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
-                both = np.concatenate([_widen(packed_a), _widen(packed_b)])
-                both.sort()
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                kept.append(100 * common >= percent * (size_a + size_b - common))
-            chosen = pa.array(kept, pa.bool_())
-            yield pa.record_batch([batch.column(0).filter(chosen), batch.column(1).filter(chosen)],
-                                  names=["a", "b"])
-
-    left = sets.select(F.col("key").alias("a"), F.col("n").alias("n_a"),
-                       F.col("shared").alias("shared_a"))
-    right = sets.select(F.col("key").alias("b"), F.col("n").alias("n_b"),
-                        F.col("shared").alias("shared_b"))
-    fits = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    return (
-        pairs.join(left, "a").join(right, "b").where(fits)
-        .select("a", "b", "n_a", "shared_a", "n_b", "shared_b")
-        .mapInArrow(check, "a long, b long")
-    )
+            found = [_widen(p) for p in batch.column(2).to_pylist()]
+            yield pa.record_batch(
+                [batch.column(0), batch.column(1),
+                 pa.array([n - len(f) for n, f in zip(batch.column(1).to_pylist(), found, strict=True)],
+                          pa.int64()),
+                 pa.array([sketch_words(f, SKETCH_WORDS).tobytes() for f in found], pa.binary())],
+                names=["key", "n", "alone", "sketch"])
+
+    return sets.select("key", "n", "shared").mapInArrow(
+        sketch, "key long, n long, alone long, sketch binary")
+
+
+def near_rows(left: list[tuple], right: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows ``(comp, n, alone, sketch)`` of either side may link with one of the other
+    side that is in another component."""
+    sides = []
+    for rows in (left, right):
+        comps, sizes, alone = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2))
+        sketches = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(rows), -1)
+        sides.append((comps, sizes, alone, sketches))
+    (comp_l, size_l, alone_l, sketch_l), (comp_r, size_r, alone_r, sketch_r) = sides
+    near = np.zeros((len(left), len(right)), bool)
+    for j in range(len(right)):
+        apart = np.bitwise_count(sketch_l ^ sketch_r[j]).sum(axis=1, dtype=np.int64)
+        near[:, j] = ((apart + alone_l + alone_r[j] <= (size_l + size_r[j]) // 9)
+                      & (comp_l != comp_r[j]))
+    return near.any(axis=1), near.any(axis=0)
+
+
+def links_between(left: list[tuple], right: list[tuple]) -> list[tuple[int, int]]:
+    """Pairs of components, of rows ``(comp, n, shared)``, that some link joins; enough of them
+    to connect all that are connected."""
+    found, known = [], Components()
+    sides = []
+    for rows in (left, right):
+        sets = [_widen(packed) for _, _, packed in rows]
+        sizes = np.array([n for _, n, _ in rows])
+        sides.append((sets, np.stack([sketch_words(s, SKETCH_WORDS) for s in sets]), sizes,
+                      sizes - np.array([len(s) for s in sets]), [c for c, _, _ in rows]))
+    (sets_l, sketch_l, size_l, alone_l, comp_l), (sets_r, sketch_r, size_r, alone_r, comp_r) = sides
+    for j in range(len(right)):
+        apart = np.bitwise_count(sketch_l ^ sketch_r[j]).sum(axis=1, dtype=np.int64)
+        near = np.flatnonzero(apart + alone_l + alone_r[j] <= (size_l + size_r[j]) // 9)
+        for i in near[np.argsort(apart[near], kind="stable")].tolist():
+            if known.find(comp_l[i]) == known.find(comp_r[j]):
+                continue
+            both = np.concatenate([sets_l[i], sets_r[j]])
+            both.sort()
+            common = int(np.count_nonzero(both[1:] == both[:-1]))
+            if 100 * common >= 80 * (int(size_l[i]) + int(size_r[j]) - common):
+                found.append((comp_l[i], comp_r[j]))
+                known.join(comp_l[i], comp_r[j])
+    return found
+
+
+def _both_sides(batches):
+    """``(block, left rows, right rows)`` of every block; rows come sorted by block."""
+    now, sides = None, ([], [])
+    for batch in batches:
+        for pair, l, r, side, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (pair, l, r) != now:
+                if all(sides):
+                    yield now, *sides
+                now, sides = (pair, l, r), ([], [])
+            sides[side].append(tuple(row))
+    if all(sides):
+        yield now, *sides
+
+
+def block_links(left: DataFrame, right: DataFrame, sets: DataFrame, sketches: DataFrame,
+                parts: int, scratch: Scratch) -> DataFrame:
+    """``(src, dst)`` components that a link joins; ``left`` and ``right`` are
+    ``(pair, key, comp)`` and rows of one ``pair`` are compared across.
+
+    Every block of the left meets every block of the right, first by sketches; only rows that
+    may link go on with their sets.
+    """
+    def sizes(rows, block, name):
+        return rows.groupBy("pair").agg(F.ceil(F.count(F.lit(1)) / block).alias(name))
+
+    counts = scratch.save(sizes(left, LEFT_BLOCK, "lefts").join(
+        sizes(right, RIGHT_BLOCK, "rights"), "pair"))
+
+    def spread(rows, side, own, other):
+        block = F.pmod(F.xxhash64("key"), F.col(own)).alias("own")
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias("other")
+        dealt = rows.join(counts, "pair").select("pair", block, every, "key", "comp")
+        l, r = ("own", "other") if side == 0 else ("other", "own")
+        return dealt.select("pair", F.col(l).alias("l"), F.col(r).alias("r"),
+                            F.lit(side).alias("side"), "key", "comp")
+
+    def dealt(rows, *columns):
+        return rows.repartition(parts, "pair", "l", "r").sortWithinPartitions("pair", "l", "r").select(
+            "pair", "l", "r", "side", "key", "comp", *columns)
+
+    def near(batches):
+        for (pair, l, r), *sides in _both_sides(batches):
+            kept = near_rows(*[[row[1:] for row in rows] for rows in sides])
+            found = [(pair, l, r, side, row[0], row[1]) for side in (0, 1)
+                     for row, k in zip(sides[side], kept[side].tolist(), strict=True) if k]
+            columns = list(zip(*found, strict=True)) if found else [()] * 6
+            types = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)],
+                                  names=["pair", "l", "r", "side", "key", "comp"])
+
+    def link(batches):
+        for _, *sides in _both_sides(batches):
+            found = links_between(*[[row[1:] for row in rows] for rows in sides])
+            yield pa.record_batch([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)],
+                                  names=["src", "dst"])
+
+    rows = spread(left, 0, "lefts", "rights").unionAll(spread(right, 1, "rights", "lefts"))
+    passed = scratch.save(dealt(rows.join(sketches, "key"), "n", "alone", "sketch").mapInArrow(
+        near, "pair string, l long, r long, side int, key long, comp long"))
+    return scratch.save(dealt(passed.join(sets, "key"), "n", "shared").mapInArrow(
+        link, "src long, dst long").distinct())
+
+
+def _merged(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Labels ``(key, cluster, comp)`` after the linked components became one."""
+    roots = connected_components(links).toDF("comp", "root")
+    return scratch.save(labels.join(roots, "comp", "left").select(
+        "key", "cluster", F.coalesce("root", "comp").alias("comp")))
 
 
 def linked_components(sets: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
     """``(key, comp)`` for all ``sets``; linked ones share ``comp``."""
-    labels = sets.select("key", F.col("key").alias("comp"))
-    left, idle, turn = sets, 0, 0
-    while True:
-        expand = EXPAND if idle < 2 else float("inf")
-        rows = signatures(left.join(labels, "key"), turn)
-        found, seen = scratch.save_observed(
-            candidate_pairs(rows, parts, expand).distinct(),
-            open=F.count(F.when(F.col("b").isNull(), 1)))
-        edges, linked = scratch.save_observed(
-            verified(found.where("b is not null"), sets), rows=F.count(F.lit(1)))
-        if linked["rows"]:
-            merged = connected_components(
-                edges.join(labels.toDF("a", "src"), "a").join(labels.toDF("b", "dst"), "b")
-                .where("src <> dst").select("src", "dst"))
-            labels = scratch.save(
-                labels.join(merged.toDF("comp", "root"), "comp", "left")
-                .select("key", F.coalesce("root", "comp").alias("comp")))
-        if not seen["open"]:
-            return labels
-        idle = 0 if linked["rows"] else idle + 1
-        left = sets.join(found.where("b is null").select(F.col("a").alias("key")), "key",
-                         "left_semi")
-        turn += 1
+    met = scratch.save(meetings(sets, parts))
+    sketches = scratch.save(sketched(sets))
+    often = connected_components(met.where(F.col("times") >= MEETINGS).toDF("src", "dst", "times"))
+    labels = scratch.save(sets.select("key").join(often.toDF("key", "root"), "key", "left").select(
+        "key", F.coalesce("root", "key").alias("cluster"), F.col("key").alias("comp")))
+
+    spot = F.xxhash64("key", F.lit(LEADERS))
+    nth = F.pmod(spot, F.lit(LEADERS))
+    leaders = labels.groupBy("cluster", nth.alias("nth")).agg(
+        F.min_by("key", spot).alias("key")).select("cluster", "key")
+    several = labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    leaders = scratch.save(leaders.join(several.select("cluster"), "cluster"))
+    rows = labels.join(several.select("cluster"), "cluster").select(
+        F.col("cluster").cast("string").alias("pair"), "key", "comp")
+    first = rows.join(leaders.select("key"), "key", "left_semi").select("pair", "key", "comp")
+    labels = _merged(labels, block_links(first, rows, sets, sketches, parts, scratch), scratch)
+
+    # What is outside the largest component of its cluster, against the whole cluster.
+    held = labels.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("many"))
+    largest = held.groupBy("cluster").agg(
+        F.max_by("comp", F.col("many")).alias("main"), F.count(F.lit(1)).alias("comps"))
+    split = scratch.save(largest.where("comps > 1").select("cluster", "main"))
+    inside = labels.join(split, "cluster").select(
+        F.col("cluster").cast("string").alias("pair"), "key", "comp",
+        (F.col("comp") != F.col("main")).alias("minor"))
+    # Pairs that met too seldom relate their clusters.
+    of = labels.select("key", "cluster")
+    related = scratch.save(
+        met.where(F.col("times") < MEETINGS).join(of.toDF("a", "left"), "a").join(
+            of.toDF("b", "right"), "b").where("left <> right")
+        .select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"))
+        .distinct())
+    name = F.concat_ws("-", "left", "right").alias("pair")
+    one = related.select(name, F.col("left").alias("cluster")).join(labels, "cluster")
+    other = related.select(name, F.col("right").alias("cluster")).join(labels, "cluster")
+    columns = ["pair", "key", "comp"]
+    left = inside.where("minor").select(*columns).unionAll(one.select(*columns))
+    right = inside.select(*columns).unionAll(other.select(*columns))
+    links = block_links(left, right, sets, sketches, parts, scratch)
+    return _merged(labels, links, scratch).select("key", "comp")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5) -> DataFrame:

@@ -61,9 +61,12 @@ def rows():
     return found
 
 
-@pytest.mark.parametrize("expand", [12, 0.01])
-def test_components_match_brute_force(spark, rows, expand, monkeypatch):
-    monkeypatch.setattr(J, "EXPAND", expand)
+@pytest.mark.parametrize("meetings, block", [(3, 64), (1, 5), (10**9, 5)])
+def test_components_match_brute_force(spark, rows, meetings, block, monkeypatch):
+    monkeypatch.setattr(J, "MEETINGS", meetings)
+    monkeypatch.setattr(J, "LEADERS", 1)
+    monkeypatch.setattr(J, "LEFT_BLOCK", block)
+    monkeypatch.setattr(J, "RIGHT_BLOCK", block)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     found = J.jaccard_components(docs).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, found)) == brute_force(rows)
