@@ -247,7 +247,11 @@ def read_bundles(index: DataFrame, payloads: bool = False) -> DataFrame:
                         yield _batch([_record(f, b, payloads) for _, f, b in
                                       parse_records(read_frame(stream, entry))], _READ_TYPES)
 
-    return index.select("file").distinct().mapInArrow(read, _READ)
+    # File names are few bytes, so adaptive execution would join them into one task; a stated
+    # number of partitions it leaves alone.
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files = index.select("file").distinct().repartition(parts, "file")
+    return files.mapInArrow(read, _READ)
 
 
 def fetch(index: DataFrame, wanted: DataFrame) -> DataFrame:
