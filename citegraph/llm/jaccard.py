@@ -17,12 +17,12 @@ A document is its set of distinct 5-word shingles; two link when
    six 64-bit words as that bound, so by the pigeonhole principle some group differs in
    at most two bits and agrees in four of its words: one key per two omitted words.
 4. ``linked_components``: the members of a key's bucket meet its first member.  Pairs that
-   meet in several buckets make clusters; pairs that meet in fewer relate two clusters.  A
-   cluster is first compared with a few of its members, block by block; what is then not in its
-   largest component is compared with all of it, and related clusters with each other.  A
-   comparison bounds the difference by a sketch and verifies the sets unless the two are in
-   one component already.  So every pair that shares a key is either in one component or
-   compared, and no link between components is lost.
+   meet in several buckets make clusters.  A cluster is first compared with a few of its
+   members, block by block; what is then not in its largest component is compared with all of
+   it.  In a bucket that holds members of several clusters, every two members of different
+   clusters are compared.  A comparison bounds the difference by a sketch and verifies the
+   sets unless the two are in one component already.  So every pair that shares a key is
+   either in one component or compared, and no link between components is lost.
 
 Sets are compared by 64-bit shingle hashes and, after step 2, by 48 of these bits within
 a pair.
@@ -34,7 +34,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citegraph.llm import textual as T
@@ -287,19 +287,20 @@ def signature_keys(hashes: np.ndarray, size: int, starts: np.ndarray) -> np.ndar
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
-def signatures(sets: DataFrame) -> DataFrame:
-    """``(sig, key)`` of sets ``(key, n, shared)``."""
+def signatures(sets: DataFrame, *carried: str) -> DataFrame:
+    """``(sig, key)`` of sets ``(key, n, shared)``, and the long columns ``carried``."""
+    names = ["key", *carried]
+
     def keys(batches):
         starts = band_starts(8)
         for batch in batches:
             sigs, own, held = [], [], 0
-            for key, size, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
-                                         batch.column(2).to_pylist(), strict=True):
+            for size, packed, *of in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if starts[-2] <= size * 4:
                     starts = band_starts(size * 16)
                 found = signature_keys(_widen(packed), size, starts)
                 sigs.append(found)
-                own.append(np.full(len(found), key, np.int64))
+                own.append(np.tile(np.array(of, np.int64), (len(found), 1)))
                 held += len(found)
                 if held > 200_000:
                     yield rows(sigs, own)
@@ -308,10 +309,12 @@ def signatures(sets: DataFrame) -> DataFrame:
                 yield rows(sigs, own)
 
     def rows(sigs, own):
-        return pa.record_batch([pa.array(T.signed(np.concatenate(sigs))),
-                                pa.array(np.concatenate(own))], names=["sig", "key"])
+        columns = np.ascontiguousarray(np.concatenate(own).T)
+        return pa.record_batch([pa.array(T.signed(np.concatenate(sigs))), *map(pa.array, columns)],
+                               names=["sig", *names])
 
-    return sets.select("key", "n", "shared").mapInArrow(keys, "sig long, key long")
+    return sets.select("n", "shared", *names).mapInArrow(
+        keys, ", ".join(f"{name} long" for name in ("sig", *names)))
 
 
 def meetings(sets: DataFrame, parts: int) -> DataFrame:
@@ -480,6 +483,24 @@ def _merged(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
         "key", "cluster", F.coalesce("root", "comp").alias("comp")))
 
 
+def mixed_buckets(sets: DataFrame, met: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(pair, key, cluster, low, high)``: members of the buckets, named ``pair``, that hold more
+    than one cluster, with their smallest and largest cluster.
+
+    The first member of such a bucket has met one of another cluster, and it has met all others.
+    """
+    of = labels.select("key", "cluster")
+    first = met.where(F.col("times") < MEETINGS).join(of.toDF("a", "left"), "a").join(
+        of.toDF("b", "right"), "b").where("left <> right").select("a").distinct()
+    around = met.join(first, "a", "left_semi")
+    keys = around.select(F.col("a").alias("key")).unionAll(around.select("b")).distinct()
+    bucket = Window.partitionBy("sig")
+    return signatures(sets.join(keys, "key", "left_semi").join(of, "key"), "cluster").select(
+        F.col("sig").cast("string").alias("pair"), "key", "cluster",
+        F.min("cluster").over(bucket).alias("low"), F.max("cluster").over(bucket).alias("high")
+    ).where("low < high")
+
+
 def linked_components(sets: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
     """``(key, comp)`` for all ``sets``; linked ones share ``comp``."""
     met = scratch.save(meetings(sets, parts))
@@ -507,20 +528,16 @@ def linked_components(sets: DataFrame, parts: int, scratch: Scratch) -> DataFram
     inside = labels.join(split, "cluster").select(
         F.col("cluster").cast("string").alias("pair"), "key", "comp",
         (F.col("comp") != F.col("main")).alias("minor"))
-    # Pairs that met too seldom relate their clusters.
-    of = labels.select("key", "cluster")
-    related = scratch.save(
-        met.where(F.col("times") < MEETINGS).join(of.toDF("a", "left"), "a").join(
-            of.toDF("b", "right"), "b").where("left <> right")
-        .select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"))
-        .distinct())
-    name = F.concat_ws("-", "left", "right").alias("pair")
-    one = related.select(name, F.col("left").alias("cluster")).join(labels, "cluster")
-    other = related.select(name, F.col("right").alias("cluster")).join(labels, "cluster")
     columns = ["pair", "key", "comp"]
-    left = inside.where("minor").select(*columns).unionAll(one.select(*columns))
-    right = inside.select(*columns).unionAll(other.select(*columns))
-    links = block_links(left, right, sets, sketches, parts, scratch)
+    labels = _merged(labels, block_links(
+        inside.where("minor").select(*columns), inside.select(*columns), sets, sketches, parts,
+        scratch), scratch)
+
+    # Members of different clusters that share a bucket.
+    mixed = scratch.save(mixed_buckets(sets, met, labels))
+    rows = mixed.join(labels.select("key", "comp"), "key")
+    links = block_links(rows.where("cluster < high").select(*columns),
+                        rows.where("cluster > low").select(*columns), sets, sketches, parts, scratch)
     return _merged(labels, links, scratch).select("key", "comp")
 
 

@@ -72,6 +72,21 @@ def test_components_match_brute_force(spark, rows, meetings, block, monkeypatch)
     assert sorted(map(tuple, found)) == brute_force(rows)
 
 
+def test_links_apart_from_the_first_member(spark):
+    """Crops of one text: a bucket's members link with each other, but not all with its first."""
+    rng = random.Random(8)
+    found = []
+    for text in range(60):
+        words = [f"t{text}w{k}" for k in range(60)]
+        for offset in range(len(words) - 12):
+            if rng.random() < 0.9:
+                found.append((len(found), " ".join(words[offset:offset + 13])))
+    rng.shuffle(found)
+    docs = spark.createDataFrame(found, "doc_id long, text string").repartition(3)
+    got = J.jaccard_components(docs).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == brute_force(found)
+
+
 def test_keys_of_linked_sets_meet():
     import numpy as np
     rng = np.random.default_rng(1)
