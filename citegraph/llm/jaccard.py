@@ -170,6 +170,22 @@ def _filter_of(passed: DataFrame) -> np.ndarray:
     return words.view(np.uint64)
 
 
+def tried_of(size: int, tried: float) -> int:
+    """How many of a set's smallest hashes are tried."""
+    return size if tried == 1.0 else int(tried * size) + 1
+
+
+def least_shared(size: int, tried: float) -> int:
+    """How many of the tried hashes of a set that links occur among those tried of another.
+
+    Of a set that links at most ``size / 5`` shingles occur nowhere else.  A prefix meets only
+    prefixes, and what the other set has alone takes places there: one place more is lost by a
+    set of 4 that is in a set of 5, and by no other.
+    """
+    alone = size // 5
+    return tried_of(size, tried) - (alone if tried == 1.0 else max(alone, 1))
+
+
 def _sharing(docs: DataFrame, likely: np.ndarray | None, buckets: int, parts: int, width: int,
              tried: float) -> DataFrame:
     """Classes that share enough of their ``tried`` smallest hashes; with those, if all are tried."""
@@ -178,7 +194,7 @@ def _sharing(docs: DataFrame, likely: np.ndarray | None, buckets: int, parts: in
             bit = key % FILTER_BITS
             if not int(likely[bit >> 6]) >> (bit & 63) & 1:
                 return found[:0]
-        return found if tried == 1.0 else found[:int(tried * len(found)) + 1]
+        return found[:tried_of(len(found), tried)]
 
     def send(batches):
         seen, keys, sizes, sets, held = set(), [], [], [], 0
@@ -236,9 +252,7 @@ def _sharing(docs: DataFrame, likely: np.ndarray | None, buckets: int, parts: in
             for k in range(len(classes)):
                 own = np.unique(hashes[cuts[k]:cuts[k + 1]])
                 size = int(sizes[at[k]])
-                sent = size if tried == 1.0 else int(tried * size) + 1
-                # Of a set that links at most size / 5 shingles occur nowhere else.
-                if len(own) >= sent - size // 5:
+                if len(own) >= least_shared(size, tried):
                     rows[0].append(int(classes[k].view(np.int64)))
                     rows[1].append(size)
                     rows[2].append(_narrow(own) if tried == 1.0 else b"")

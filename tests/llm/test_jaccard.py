@@ -87,6 +87,34 @@ def test_links_apart_from_the_first_member(spark):
     assert sorted(map(tuple, got)) == brute_force(found)
 
 
+def test_prefixes_of_linked_sets_meet():
+    """In the worst order all that one set has alone comes before what is common."""
+    tightest = None
+    for common in range(1, 400):
+        for more in range(common // 4 + 1):
+            for less in range(common // 4 - more + 1):
+                sizes = common + more, common + less
+                sent = [J.tried_of(s, 0.3) for s in sizes]
+                # Alone shingles of either side at the start or at the end of its order.
+                worst = min(min(max(0, sent[0] - x), max(0, sent[1] - y), common)
+                            for x in range(more + 1) for y in range(less + 1)) \
+                    if common < 40 else min(max(0, sent[0] - more), max(0, sent[1] - less), common)
+                room = worst - max(J.least_shared(s, 0.3) for s in sizes)
+                tightest = room if tightest is None else min(tightest, room)
+    assert tightest == 0
+
+
+def test_short_text_inside_a_longer_one(spark):
+    """Sets of 4 inside sets of 5; two of five orders put the odd shingle into the prefix."""
+    found = []
+    for k in range(40):
+        words = [f"s{k}w{j}" for j in range(9)]
+        found += [(2 * k, " ".join(words[:8])), (2 * k + 1, " ".join(words))]
+    docs = spark.createDataFrame(found, "doc_id long, text string")
+    got = J.jaccard_components(docs).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == brute_force(found)
+
+
 def test_keys_of_linked_sets_meet():
     import numpy as np
     rng = np.random.default_rng(1)
