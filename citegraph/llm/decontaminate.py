@@ -139,15 +139,19 @@ class ItemIndex:
                                 budget)
 
 
-def _blocks(benchmark: DataFrame, rate: float):
-    """Item indexes, each over about ``BLOCK_CHARS`` characters; rows without id or text are left."""
-    items = benchmark.where("item_id is not null and text is not null").select(
+def _blocks(benchmark: DataFrame, rate: float, named: bool = True):
+    """Item indexes, each over about ``BLOCK_CHARS`` characters; rows without text are left, and
+    those without id if items are ``named``."""
+    items = benchmark.where("text is not null").select(
         F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    if named:
+        items = items.where("item_id is not null")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     count = max(1, -(-total // BLOCK_CHARS))
     for block in range(count):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == block)
-        yield ItemIndex(sorted((r["item_id"], r["text"]) for r in own.collect()), rate)
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == block)
+        rows = [(r["item_id"], r["text"]) for r in own.collect()]
+        yield ItemIndex(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])), rate)
 
 
 _LEAKS = "doc_id long, item_id long, start long, end long, edits long, shared_grams long"
@@ -183,7 +187,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -> Dat
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text holds no item; null texts stay."""
+    """The rows of ``docs``, all columns, whose text holds no item, with or without id; null
+    texts stay."""
     place = docs.columns.index("text")
 
     def filtered(index: ItemIndex):
@@ -194,6 +199,6 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE
 
         return keep
 
-    for index in _blocks(benchmark, rate):
+    for index in _blocks(benchmark, rate, named=False):
         docs = docs.mapInArrow(filtered(index), docs.schema)
     return docs

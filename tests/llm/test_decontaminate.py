@@ -73,3 +73,12 @@ def test_blocks_of_items_find_the_same(spark, monkeypatch):
     monkeypatch.setattr(D, "BLOCK_CHARS", 200)
     assert sorted(map(tuple, D.leaks(docs, bench).collect())) == once
     assert D.without_leaks(docs, bench).count() == 0
+
+
+def test_items_without_id_are_removed(spark):
+    item = "an item that has no number of its own but leaks"
+    bench = spark.createDataFrame([(None, item), (2, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, "clean"), (3, None)],
+                                 "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in D.without_leaks(docs, bench).collect()) == [2, 3]
+    assert D.leaks(docs, bench).count() == 0
