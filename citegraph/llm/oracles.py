@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citegraph.llm import linededup, rules
+from citegraph.llm import bitslice, linededup, rules, vectorcode
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -111,3 +111,93 @@ LINES = rf"""
     SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_deleted, 0)::BIGINT AS n_deleted,
            coalesce(k.text, d.text) AS text
     FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id"""
+
+
+def _vector_codes() -> str:
+    """The rounds written out; every part against every entry."""
+    parts, entries = vectorcode.PARTS, vectorcode.ENTRIES
+    ctes = [f"""
+    v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding,
+        lambda x: floor({vectorcode.SCALE} * x::DOUBLE)::BIGINT) AS z
+      FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding,
+        lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    p AS MATERIALIZED (SELECT vec_id, pos, z[pos * w + 1:(pos + 1) * w] AS part
+      FROM (SELECT vec_id, z, len(z) // {parts} AS w, unnest(range({parts})) AS pos FROM v)),
+    c0 AS MATERIALIZED (SELECT pos, e, part FROM (SELECT *, row_number() OVER (
+        PARTITION BY pos ORDER BY vec_id) - 1 AS e FROM p) WHERE e < {entries})"""]
+    for turn in range(vectorcode.ROUNDS + 1):
+        ctes.append(f"""
+    a{turn} AS MATERIALIZED (SELECT p.vec_id, p.pos, any_value(p.part) AS part,
+        min({{'d': list_sum(list_transform(list_zip(p.part, c.part),
+          lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT, 'e': c.e}}) AS near
+      FROM p JOIN c{turn} c ON c.pos = p.pos GROUP BY p.vec_id, p.pos)""")
+        if turn < vectorcode.ROUNDS:
+            ctes.append(f"""
+    c{turn + 1} AS MATERIALIZED (SELECT c.pos, c.e, coalesce(m.part, c.part) AS part
+      FROM c{turn} c LEFT JOIN (
+        SELECT pos, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS part FROM (
+          SELECT pos, e, i, sum(x)::BIGINT AS s, count(*) AS n FROM (
+            SELECT pos, near.e AS e, unnest(part) AS x, generate_subscripts(part, 1) AS i
+            FROM a{turn}) GROUP BY pos, e, i) GROUP BY pos, e) m ON m.pos = c.pos AND m.e = c.e)""")
+    last = vectorcode.ROUNDS
+    return f"""
+    WITH {",".join(ctes)},
+    code AS (SELECT vec_id, string_agg(printf('%02x', near.e), '' ORDER BY pos) AS code,
+        sum(near.d)::BIGINT AS error FROM a{last} GROUP BY vec_id),
+    book AS (SELECT sha256(string_agg(array_to_string(part, ','), ',' ORDER BY pos, e)) AS digest
+      FROM c{last})
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+           (SELECT digest FROM book) AS codebooks_sha256
+    FROM code JOIN v USING (vec_id)"""
+
+
+VECTOR_CODES = _vector_codes()
+
+
+def _bit_slices() -> str:
+    """Every feature's CRC-32 by a table that is itself computed; weights as plain sums."""
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    buckets, scale = bitslice.BUCKETS, bitslice.SCALE
+    step = "CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END"
+    table = "i"
+    for _ in range(8):
+        table = f"(SELECT {step} FROM (SELECT {table} AS c))"
+
+    def features(name: str, ident: str) -> str:
+        return f"""
+    {name}_w AS MATERIALIZED (SELECT {ident} AS id, regexp_extract_all(translate(coalesce(text, ''),
+        '{UPPER}', '{LOWER}'), '{word}') AS words FROM {name}),
+    {name}_f AS MATERIALIZED (SELECT id, unnest(list_concat(words, list_transform(
+        range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS f FROM {name}_w)"""
+
+    return f"""
+    WITH one AS (SELECT i, {table} AS c FROM range(256) t(i)),
+    crc AS MATERIALIZED (SELECT list(c::BIGINT ORDER BY i) AS t FROM one),
+    {features("documents", "doc_id")}, {features("benchmark", "item_id")},
+    d AS MATERIALIZED (SELECT DISTINCT f FROM (SELECT f FROM documents_f UNION ALL SELECT f FROM benchmark_f)),
+    h AS (SELECT f, t, hex(encode(f)) AS x FROM d, crc),
+    b AS MATERIALIZED (SELECT f, xor(list_reduce(list_transform(range(1, len(x), 2),
+        lambda i: ('0x' || substr(x, i, 2))::BIGINT),
+        lambda c, y: xor(t[xor(c & 255, y) + 1], c >> 8), 4294967295::BIGINT), 4294967295) % {buckets} AS bucket
+      FROM h),
+    s AS (SELECT bucket, count(*) AS s FROM documents_f JOIN b USING (f) GROUP BY bucket),
+    t AS (SELECT bucket, count(*) AS t FROM benchmark_f JOIN b USING (f) GROUP BY bucket),
+    g AS MATERIALIZED (SELECT i AS bucket, floor({scale} * ln(
+        ((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM documents_f) + {buckets})::DOUBLE)
+        / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM benchmark_f) + {buckets})::DOUBLE)))::BIGINT AS gain
+      FROM range({buckets}) r(i) LEFT JOIN s ON s.bucket = i LEFT JOIN t ON t.bucket = i),
+    sums AS (SELECT id, count(*) AS n, sum(gain)::BIGINT AS total
+      FROM documents_f JOIN b USING (f) JOIN g USING (bucket) GROUP BY id),
+    w AS (SELECT id AS doc_id, coalesce(n, 0)::BIGINT AS n_features, len(words) AS n_words,
+        coalesce((total - ((total % n) + n) % n) // n, 0)::BIGINT AS weight,
+        ('0x' || substr(sha256('{bitslice.SEED}:' || id), 1, 8))::BIGINT AS drawn
+      FROM documents_w LEFT JOIN sums USING (id)),
+    c AS MATERIALIZED (SELECT *, weight + floor(-{scale} * ln(-ln((drawn + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+      FROM w),
+    r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank
+      FROM c WHERE n_words >= {bitslice.MIN_WORDS}
+      QUALIFY rank <= count(*) OVER () * {bitslice.PERCENT} // 100)
+    SELECT doc_id, n_features, weight, score, rank FROM c LEFT JOIN r USING (doc_id)"""
+
+
+BIT_SLICES = _bit_slices()

@@ -1,4 +1,4 @@
-"""The ten operators applied to their whole tables, with production parameters."""
+"""The operators applied to their whole tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from citegraph.llm import (
+    bitslice,
     decontaminate,
     importance,
     jaccard,
@@ -16,6 +17,8 @@ from citegraph.llm import (
     packing,
     rules,
     sharding,
+    tiers,
+    vectorcode,
     warc,
 )
 from citegraph.llm.shipping import ship
@@ -94,3 +97,18 @@ def op9(spark, sf_dir):
 @query("op10_importance_resampling")
 def op10(spark, sf_dir):
     return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_vector_codes", oracles.VECTOR_CODES)
+def op11(spark, sf_dir):
+    return vectorcode.compressed(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_bit_sliced_resampling", oracles.BIT_SLICES)
+def op12(spark, sf_dir):
+    return bitslice.drawn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_tiered_packing")
+def op13(spark, sf_dir):
+    return tiers.tiered(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -4,6 +4,7 @@ import public_tokenizers
 import pytest
 
 from citegraph.llm import (
+    bitslice,
     decontaminate,
     importance,
     jaccard,
@@ -13,6 +14,8 @@ from citegraph.llm import (
     packing,
     rules,
     sharding,
+    tiers,
+    vectorcode,
     warc,
 )
 
@@ -34,6 +37,11 @@ OPERATORS = {
     "sharding": lambda spark, docs: sharding.sharded(docs),
     "linededup": lambda spark, docs: linededup.without_repeats(docs),
     "importance": lambda spark, docs: importance.resampled(docs, labels(spark)),
+    "bitslice": lambda spark, docs: bitslice.drawn(docs, items(spark)),
+    "tiers": lambda spark, docs: tiers.tiered(docs, public_tokenizers.path("word_bpe_49k.json")),
+    "vectorcode": lambda spark, docs: vectorcode.compressed(docs.selectExpr(
+        "doc_id AS vec_id", "lang AS label", "place AS part", "n_lines AS weight",
+        "IF(text IS NULL, NULL, array(length(text), 0.5D, n_lines)) AS embedding")),
     "kept": lambda spark, docs: importance.kept_rows(docs, labels(spark)),
 }
 
@@ -65,8 +73,11 @@ def docs(spark):
 @pytest.mark.parametrize("name", sorted(OPERATORS))
 def test_odd_rows(spark, docs, name):
     found = OPERATORS[name](spark, docs).collect()
-    if name in ("warc", "jaccard", "rules", "langid", "sharding", "linededup"):
+    if name in ("warc", "jaccard", "rules", "langid", "sharding", "linededup",
+                "bitslice"):
         assert len(found) == 12
+    if name == "vectorcode":
+        assert len(found) == 10
     if name == "leaks":
         hits = sorted((str(r["doc_id"]), r["item_id"], r["edits"]) for r in found)
         assert hits == [("1", 1, 0), ("1", 1, 0), ("1", 2, 0), ("1", 2, 0), ("None", 1, 0),
