@@ -24,15 +24,14 @@ the places of its own pieces from tables of at most one row per length.
 from __future__ import annotations
 
 import bisect
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
+from citegraph.llm.wordunits import WordTokenizer
 from citegraph.scratch import Scratch, number_rows
 
 #: Window lengths; powers of two, ascending.
@@ -41,65 +40,6 @@ WINDOWS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 64 * 4096
 #: A piece whose window would have a smaller gap fills other gaps instead.
 LEAST_GAP = 16
-#: Distinct words whose ids a worker remembers, and the longest that it does.
-CACHED_WORDS, CACHED_CHARS = 1 << 18, 64
-#: Characters of a text that are split at once; texts are cut at white space only.
-SLICE_CHARS = 1 << 20
-
-_SPACE = re.compile(r"\s")
-
-
-class WordTokenizer:
-    """The ids of a tokenizer that drops white space and joins nothing across it.
-
-    Then a text's ids are those of its words, which are remembered.  Texts with a special
-    token's opening or with the separators \\x1c-\\x1f, on which Python and the tokenizer differ
-    about white space, go to the tokenizer whole.
-    """
-
-    def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.wide = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.odd = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
-        self.known: dict[str, bytes] = {}
-
-    def _encoded(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype=self.wide).tobytes()
-
-    def _slices(self, text: str):
-        at = 0
-        while len(text) - at > SLICE_CHARS:
-            space = _SPACE.search(text, at + SLICE_CHARS)
-            if space is None:
-                break
-            yield text[at:space.start()]
-            at = space.end()
-        yield text[at:] if at else text
-
-    def ids(self, text: str) -> bytes:
-        """The ids, packed as ``wide`` numbers."""
-        if any(o in text for o in self.odd):
-            return self._encoded(text)
-        return b"".join(part for piece in self._slices(text) for part in self._words(piece.split()))
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        try:
-            return [self.known[w] for w in words]
-        except KeyError:
-            pass
-        found = []
-        for word in words:
-            ids = self.known.get(word)
-            if ids is None:
-                ids = self._encoded(word)
-                if len(word) <= CACHED_CHARS:
-                    if len(self.known) >= CACHED_WORDS:
-                        self.known.clear()
-                    self.known[word] = ids
-            found.append(ids)
-        return found
-
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
@@ -111,8 +51,10 @@ def tokenizer_at(path: str) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
-_UNITS = "doc_id long, start long, length int, doc_tokens long, ids binary"
-_UNIT_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+_UNITS = "doc_id long, start long, length int, doc_tokens long, ids binary, ids_crc32 long"
+_UNIT_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64())
+#: Texts that are tokenized together.
+TEXTS_AT_ONCE = 1024
 
 
 def units(docs: DataFrame, path: str, end_id: int, longest: int) -> DataFrame:
@@ -122,20 +64,24 @@ def units(docs: DataFrame, path: str, end_id: int, longest: int) -> DataFrame:
         end = np.array([end_id], tokens.wide).tobytes()
         size = tokens.wide.itemsize
         for batch in batches:
-            rows, held = [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
-                                    strict=True):
-                ids = tokens.ids(text or "") + end
-                count = len(ids) // size
-                edges = [0, *range(count % longest or longest, count + 1, longest)]
-                for lo, hi in zip(edges, edges[1:]):
-                    rows.append((doc_id, lo, hi - lo, count, ids[size * lo:size * hi]))
-                held += len(ids)
-                if held > 1 << 24:
+            for first in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                some = batch.slice(first, TEXTS_AT_ONCE)
+                rows, held = [], 0
+                texts = [text or "" for text in some.column(1).to_pylist()]
+                for doc_id, ids in zip(some.column(0).to_pylist(), tokens.encoded(texts), strict=True):
+                    ids += end
+                    count = len(ids) // size
+                    edges = [0, *range(count % longest or longest, count + 1, longest)]
+                    for lo, hi in zip(edges, edges[1:]):
+                        own = ids[size * lo:size * hi]
+                        crc = zlib.crc32(np.frombuffer(own, tokens.wide).astype("<u4"))
+                        rows.append((doc_id, lo, hi - lo, count, own, crc))
+                    held += len(ids)
+                    if held > 1 << 24:
+                        yield _batch(rows, _UNITS, _UNIT_TYPES)
+                        rows, held = [], 0
+                if rows:
                     yield _batch(rows, _UNITS, _UNIT_TYPES)
-                    rows, held = [], 0
-            if rows:
-                yield _batch(rows, _UNITS, _UNIT_TYPES)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         cut, _UNITS)
@@ -214,6 +160,15 @@ class Plan:
         k = int(np.searchsorted(self.first, piece, side="right")) - 1
         return int(self.tokens[k] + (piece - self.first[k]) * self.lengths[k])
 
+    def whole(self) -> list[tuple[int, int]]:
+        """Ranges ``(least, most)`` of lengths of which no piece is cut, but for those set aside."""
+        found = []
+        for first, behind, _ in self.opened.tolist():
+            inside = self.lengths[(self.first[:-1] >= first) & (self.first[1:] <= behind)]
+            if len(inside):
+                found.append((int(inside.min()), int(inside.max())))
+        return found
+
     def places(self, pieces: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Columns ``(row, start, length, sequence, offset)``; a piece may be cut into several."""
         rows = np.arange(len(pieces))
@@ -292,12 +247,17 @@ def tiered(docs: DataFrame, path: str, end_id: int = 2, windows: tuple[int, ...]
     # One number per length, whatever the input.
     counts = {r["length"]: r["many"] for r in
               held.groupBy("length").agg(F.count(F.lit(1)).alias("many")).collect()}
-    order = F.col("length")
+    plan = Plan(counts, windows)
+    order = length = F.col("length")
     aside = [length for length in counts if order_of(length, windows) < 0]
     if aside:
-        order = F.when(order.isin(aside), -order).otherwise(order)
-    numbered = number_rows(held, [order, F.col("doc_id"), F.col("start"), F.col("row")], "number")
-    plan = Plan(counts, windows)
+        order = F.when(length.isin(aside), -length).otherwise(length)
+    # Only pieces that may be cut carry their ids on.
+    kept = F.lit(False)
+    for least, most in plan.whole():
+        kept |= order.between(least, most)
+    rows = held.withColumn("ids", F.when(~kept, F.col("ids")))
+    numbered = number_rows(rows, [order, F.col("doc_id"), F.col("start"), F.col("row")], "number")
     total = int(plan.tokens[-1])
     dealt = np.array(step_runs(plan.sequences, max(1, -(-total // step_tokens))),
                      np.int64).reshape(-1, 3)
@@ -307,18 +267,16 @@ def tiered(docs: DataFrame, path: str, end_id: int = 2, windows: tuple[int, ...]
     def place(batches):
         wide = tokenizer_at(path).wide
         for batch in batches:
-            doc_ids, base, sizes, doc_tokens, ids, number = batch.columns
+            doc_ids, base, sizes, doc_tokens, ids, whole_crc, number = batch.columns
             if not len(number):
                 continue
+            sizes = sizes.to_numpy(zero_copy_only=False).astype(np.int64)
             row, start, length, sequence, offset = plan.places(
-                number.to_numpy(zero_copy_only=False).astype(np.int64) - 1,
-                sizes.to_numpy(zero_copy_only=False).astype(np.int64))
-            crc = np.empty(len(row), np.int64)
-            packed = ids.to_pylist()
-            for k, (r, s, n) in enumerate(zip(row.tolist(), start.tolist(), length.tolist(),
-                                              strict=True)):
-                own = np.frombuffer(packed[r], wide, n, s * wide.itemsize)
-                crc[k] = zlib.crc32(own.astype("<u4").tobytes())
+                number.to_numpy(zero_copy_only=False).astype(np.int64) - 1, sizes)
+            crc = whole_crc.to_numpy(zero_copy_only=False)[row]
+            for k in np.flatnonzero(length < sizes[row]).tolist():
+                own = np.frombuffer(ids[int(row[k])].as_py(), wide, length[k], start[k] * wide.itemsize)
+                crc[k] = zlib.crc32(own.astype("<u4"))
             dealer = np.searchsorted(dealt[:, 0], sequence, side="right") - 1
             step = dealt[dealer, 1] + (sequence - dealt[dealer, 0]) % dealt[dealer, 2]
             window = window_of[np.searchsorted(opened, sequence, side="right") - 1]
@@ -331,5 +289,5 @@ def tiered(docs: DataFrame, path: str, end_id: int = 2, windows: tuple[int, ...]
                  for c, t in zip(columns, _PACKED_TYPES, strict=True)],
                 names=[column.split()[0] for column in _PACKED.split(", ")])
 
-    return numbered.select("doc_id", "start", "length", "doc_tokens", "ids", "number").mapInArrow(
+    return numbered.select("doc_id", "start", "length", "doc_tokens", "ids", "ids_crc32", "number").mapInArrow(
         place, _PACKED)

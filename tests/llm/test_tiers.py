@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from citegraph.llm import tiers
+from citegraph.llm import tiers, wordunits
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -82,7 +82,7 @@ def test_steps_get_equal_tokens():
 
 
 def test_ids_are_the_tokenizers(plain):
-    own = tiers.WordTokenizer(PATH)
+    own = wordunits.WordTokenizer(PATH)
     letters = [chr(c) for c in range(sys.maxunicode + 1)
                if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
     rng = random.Random(1)
@@ -91,18 +91,25 @@ def test_ids_are_the_tokenizers(plain):
              for k in range(0, len(letters), 60)]
     texts += ["", " ", "<|endoftext|> a <|ENDOFTEXT|>", "a\x1cb \x1f", "x" * 300_000, " \n\t" * 700_000,
               "I'LL we've It's 123 ΑΣ é", "́ " * 3]
-    for text in texts:
-        found = np.frombuffer(own.ids(text), own.wide).tolist()
-        assert found == plain.encode(text, add_special_tokens=False).ids
+    for text, ids in zip(texts, own.encoded(texts)):
+        assert np.frombuffer(ids, own.wide).tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
 def test_texts_are_sliced_at_white_space(monkeypatch):
-    own = tiers.WordTokenizer(PATH)
+    own = wordunits.WordTokenizer(PATH)
     text = " some  words\nand " + "l" * 50 + " others, of which\tmany "
-    whole = own.ids(text)
+    whole = own.encoded([text])
     for size in (1, 7, 20):
-        monkeypatch.setattr(tiers, "SLICE_CHARS", size)
-        assert own.ids(text) == whole
+        monkeypatch.setattr(wordunits, "SLICE_CHARS", size)
+        monkeypatch.setattr(wordunits, "CACHED_UNITS", size)
+        assert own.encoded([text, "", text]) == [*whole, b"", *whole]
+
+
+def test_other_tokenizers_get_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = wordunits.WordTokenizer(path)
+    text = "Some  text\nof two lines"
+    assert np.frombuffer(own.encoded([text])[0], own.wide).tolist() == Tokenizer.from_file(path).encode(text).ids
 
 
 def test_pieces_hold_every_token_once(spark, plain):
