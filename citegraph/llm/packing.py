@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import sys
 import zlib
 from array import array
@@ -30,14 +31,19 @@ from citegraph.scratch import Scratch
 CAPACITY = 2048
 #: Parts into which every length is split for numbering; one length may hold a third of all rows.
 SALTS = 128
+#: Runs of white space that the rank encoder's pattern is not given: it backtracks over them and
+#: panics at a million.
+LONG_SPACE = 100_000
+_LONG_SPACE = re.compile(r"\s{%d}" % LONG_SPACE)
 
 
 class TextTokenizer:
     """The ids of a byte-level tokenizer.
 
     ``ranks`` is the vocabulary of the tokenizer in ``path`` as ranks, whose encoder gives the
-    same ids in a fifth of the time.  Texts with a special token's string, or with the
-    separators on which the two need not agree, go to the tokenizer itself.
+    same ids in a fifth of the time.  Texts with a special token's string, with the separators
+    on which the two need not agree, or with very long runs of white space go to the tokenizer
+    itself.
     """
 
     def __init__(self, path: str, ranks: str):
@@ -52,7 +58,8 @@ class TextTokenizer:
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian 32-bit numbers."""
-        if any(o in text for o in self.odd):
+        if any(o in text for o in self.odd) or (
+                len(text) >= LONG_SPACE and _LONG_SPACE.search(text)):
             found = self.tokenizer.encode(text, add_special_tokens=False).ids
         else:
             found = self.encoding.encode_ordinary(text)

@@ -182,3 +182,19 @@ def test_license_spans(spark):
     assert [f[0] for f in found[6]] == ["GPL-3.0"] and 0.9 < found[6][0][2] < 1
     assert [f[2] for f in found[4]] == [0.8]  # one word of five is missing
     assert 2 not in found and 5 not in found
+
+
+def test_packing_of_long_white_space(spark):
+    plain = Tokenizer.from_file(PATH)
+    runs = [" " * 2_000_000, "\n" * 2_000_000, "\t" * 2_000_000, " \n\t\r" * 500_000,
+            "a" + " " * 1_000_001 + "b", "x" * 2_000_000, " " * 99_999 + "word"]
+    docs = spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string").repartition(4)
+    found = defaultdict(dict)
+    for r in packing.packed(docs, PATH, RANKS).collect():
+        found[r["doc_id"]][r["start"]] = (r["length"], r["ids_crc32"])
+    for doc_id, text in enumerate(runs):
+        ids = [*plain.encode(text, add_special_tokens=False).ids, 0]
+        own = found[doc_id]
+        assert sum(n for n, _ in own.values()) == len(ids)
+        for start, (length, crc) in own.items():
+            assert crc == zlib.crc32(struct.pack(f"<{length}I", *ids[start:start + length]))
