@@ -13,9 +13,9 @@ A document is its set of distinct 5-word shingles; two link when
    everything that occurs once behind.
 3. ``signatures``: the shared shingles are XOR-hashed into a bit sketch.  The Hamming
    distance of two sketches is at most the symmetric difference, which a link bounds by
-   ``(|A| + |B|) / 9``.  A sketch of size band j has more than a third as many groups of
-   six 64-bit words as that bound, so by the pigeonhole principle some group differs in
-   at most two bits and agrees in four of its words: one key per two omitted words.
+   ``(|A| + |B|) / 9``.  A sketch of size band j has more than half as many groups of four
+   64-bit words as that bound, so by the pigeonhole principle some group differs in at
+   most one bit and agrees in three of its words: one key per omitted word.
 4. ``linked_components``: the members of a key's bucket meet its first member.  Pairs that
    meet in several buckets make clusters.  A cluster is first compared with a few of its
    members, block by block; what is then not in its largest component is compared with all of
@@ -34,7 +34,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citegraph.llm import textual as T
@@ -45,10 +45,10 @@ from citegraph.scratch import Scratch
 BUCKET_SHINGLES = 1_000_000
 #: Shingles that a task gathers before it sends blocks.
 FLUSH_SHINGLES = 1_000_000
-#: Bits of the filter of classes that passed the first trial; its size does not depend on the
-#: data.  A class that passes it wrongly is tried on all its shingles and left then.
-FILTER_BITS = 1 << 24
-GROUP_WORDS, OMITTED = 6, 2
+#: Bits of a filter per key in it, and at most; filters go to every task.  What passes one wrongly
+#: costs time and is left later, so a full filter changes no result.
+KEY_BITS, MOST_FILTER_BITS = 128, 1 << 27
+GROUP_WORDS, OMITTED = 4, 1
 #: Buckets in which two classes meet to be put into one cluster.
 MEETINGS = 3
 #: Members that a cluster is compared with first.
@@ -153,23 +153,33 @@ def _exchange(blocks: DataFrame, parts: int) -> DataFrame:
     return blocks.repartitionById(parts, home).sortWithinPartitions("bucket")
 
 
-def shared_sets(docs: DataFrame, buckets: int, parts: int, width: int = 5) -> DataFrame:
+def shared_sets(docs: DataFrame, buckets: int, parts: int, scratch: Scratch,
+                width: int = 5) -> DataFrame:
     """``(key, n, shared)``: classes of which 80 % of the shingles occur in another class."""
-    likely = _filter_of(_sharing(docs, None, buckets, parts, width, tried=0.3))
-    return _sharing(docs, likely, buckets, parts, width, tried=1.0)
-
-
-def _filter_of(passed: DataFrame) -> np.ndarray:
-    """Bits of the keys that passed; at most FILTER_BITS / 64 numbers reach the driver."""
-    bit = F.pmod("key", F.lit(FILTER_BITS))
-    rows = passed.groupBy(F.shiftright(bit, 6).alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(key, {FILTER_BITS}) % 64 as int))")).alias("bits"))
-    words = np.zeros(FILTER_BITS // 64, np.int64)
-    for row in rows.toLocalIterator():
-        words[row["word"]] = row["bits"]
+    passed, seen = scratch.save_observed(
+        _sharing(docs, None, buckets, parts, width, tried=0.3).select("key"), many=F.count(F.lit(1)))
+    likely = key_filter(passed, "key", int(seen["many"]))
+    scratch.drop(passed)
+    return scratch.save(_sharing(docs, likely, buckets, parts, width, tried=1.0))
+
+
+def key_filter(table: DataFrame, column: str, many: int) -> np.ndarray:
+    """Bits of ``many`` hashed keys as 64-bit words, by their lowest bits."""
+    bits = 1 << min(max((KEY_BITS * many).bit_length(), 6), MOST_FILTER_BITS.bit_length() - 1)
+    spot = F.col(column).bitwiseAND(F.lit(bits - 1))
+    rows = table.groupBy(F.shiftright(spot, 6).alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, CAST({column} & 63 AS INT))")).alias("bits")).toArrow()
+    words = np.zeros(bits // 64, np.int64)
+    words[rows["word"].to_numpy()] = rows["bits"].to_numpy()
     return words.view(np.uint64)
 
 
+def passes(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys the filter holds, and a few others."""
+    spot = keys & np.uint64(64 * len(words) - 1)
+    return (words[(spot >> np.uint64(6)).astype(np.int64)] >> (keys & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def tried_of(size: int, tried: float) -> int:
     """How many of a set's smallest hashes are tried."""
     return size if tried == 1.0 else int(tried * size) + 1
@@ -190,10 +200,8 @@ def _sharing(docs: DataFrame, likely: np.ndarray | None, buckets: int, parts: in
              tried: float) -> DataFrame:
     """Classes that share enough of their ``tried`` smallest hashes; with those, if all are tried."""
     def wanted(found: np.ndarray, key: int) -> np.ndarray:
-        if likely is not None:
-            bit = key % FILTER_BITS
-            if not int(likely[bit >> 6]) >> (bit & 63) & 1:
-                return found[:0]
+        if likely is not None and not passes(likely, np.array([key], np.uint64))[0]:
+            return found[:0]
         return found[:tried_of(len(found), tried)]
 
     def send(batches):
@@ -296,13 +304,15 @@ def signature_keys(hashes: np.ndarray, size: int, starts: np.ndarray) -> np.ndar
         mixed = T.mix(parts ^ T.ROLES[:GROUP_WORDS])
         total = mixed.sum(axis=1, dtype=np.uint64)
         place = (np.uint64(target) << np.uint64(40)) + np.arange(groups, dtype=np.uint64) * np.uint64(32)
-        for number, (i, j) in enumerate(itertools.combinations(range(GROUP_WORDS), OMITTED)):
-            found.append(T.mix(total - mixed[:, i] - mixed[:, j] + T.mix(place + np.uint64(number))))
+        for number, omitted in enumerate(itertools.combinations(range(GROUP_WORDS), OMITTED)):
+            kept = total - mixed[:, list(omitted)].sum(axis=1, dtype=np.uint64)
+            found.append(T.mix(kept + T.mix(place + np.uint64(number))))
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
-def signatures(sets: DataFrame, *carried: str) -> DataFrame:
-    """``(sig, key)`` of sets ``(key, n, shared)``, and the long columns ``carried``."""
+def signatures(sets: DataFrame, *carried: str, wanted: np.ndarray | None = None) -> DataFrame:
+    """``(sig, key)`` of sets ``(key, n, shared)``, and the long columns ``carried``; only those
+    that pass the filter ``wanted``, if there is one."""
     names = ["key", *carried]
 
     def keys(batches):
@@ -313,6 +323,8 @@ def signatures(sets: DataFrame, *carried: str) -> DataFrame:
                 if starts[-2] <= size * 4:
                     starts = band_starts(size * 16)
                 found = signature_keys(_widen(packed), size, starts)
+                if wanted is not None:
+                    found = found[passes(wanted, found)]
                 sigs.append(found)
                 own.append(np.tile(np.array(of, np.int64), (len(found), 1)))
                 held += len(found)
@@ -332,7 +344,8 @@ def signatures(sets: DataFrame, *carried: str) -> DataFrame:
 
 
 def meetings(sets: DataFrame, parts: int) -> DataFrame:
-    """``(a, b, times)``: how many buckets have ``a`` as the first member and ``b`` as another."""
+    """``(a, b, times, low, high)``: how many buckets have ``a`` as the first member and ``b`` as
+    another, with the least and the greatest of their signatures."""
     def stars(batches):
         sig, leader = None, None
         for batch in batches:
@@ -344,11 +357,12 @@ def meetings(sets: DataFrame, parts: int) -> DataFrame:
             lead = np.where(place >= 0, keys[np.maximum(place, 0)], leader or 0)
             sig, leader = sigs[-1], lead[-1]
             other = ~first & (keys != lead)
-            yield pa.record_batch([pa.array(lead[other]), pa.array(keys[other])], names=["a", "b"])
+            yield pa.record_batch([pa.array(c[other]) for c in (lead, keys, sigs)],
+                                  names=["a", "b", "sig"])
 
     placed = signatures(sets).repartition(parts, "sig").sortWithinPartitions("sig", "key")
-    return placed.mapInArrow(stars, "a long, b long").groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("times"))
+    return placed.mapInArrow(stars, "a long, b long, sig long").groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("times"), F.min("sig").alias("low"), F.max("sig").alias("high"))
 
 
 class Components:
@@ -497,29 +511,39 @@ def _merged(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
         "key", "cluster", F.coalesce("root", "comp").alias("comp")))
 
 
-def mixed_buckets(sets: DataFrame, met: DataFrame, labels: DataFrame) -> DataFrame:
+def mixed_buckets(sets: DataFrame, met: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """``(pair, key, cluster, low, high)``: members of the buckets, named ``pair``, that hold more
     than one cluster, with their smallest and largest cluster.
 
-    The first member of such a bucket has met one of another cluster, and it has met all others.
+    The first member of such a bucket has met one of another cluster there, and it has met all
+    others.  If the two met in one or two buckets, these are known; only members' signatures in
+    the filter of known buckets are sent.
     """
     of = labels.select("key", "cluster")
-    first = met.where(F.col("times") < MEETINGS).join(of.toDF("a", "left"), "a").join(
-        of.toDF("b", "right"), "b").where("left <> right").select("a").distinct()
-    around = met.join(first, "a", "left_semi")
+    apart = scratch.save(met.where(F.col("times") < MEETINGS).join(of.toDF("a", "left"), "a").join(
+        of.toDF("b", "right"), "b").where("left <> right").select("a", "times", "low", "high"))
+    known = None
+    if MEETINGS <= 3:
+        names, seen = scratch.save_observed(
+            apart.select(F.explode(F.array("low", "high")).alias("sig")).distinct(),
+            many=F.count(F.lit(1)))
+        known = key_filter(names, "sig", int(seen["many"]))
+    around = met.join(apart.select("a").distinct(), "a", "left_semi")
     keys = around.select(F.col("a").alias("key")).unionAll(around.select("b")).distinct()
-    bucket = Window.partitionBy("sig")
-    return signatures(sets.join(keys, "key", "left_semi").join(of, "key"), "cluster").select(
-        F.col("sig").cast("string").alias("pair"), "key", "cluster",
-        F.min("cluster").over(bucket).alias("low"), F.max("cluster").over(bucket).alias("high")
-    ).where("low < high")
+    found = scratch.save(signatures(
+        sets.join(keys, "key", "left_semi").join(of, "key"), "cluster", wanted=known))
+    several = found.groupBy("sig").agg(
+        F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high")
+    return found.join(several, "sig").select(
+        F.col("sig").cast("string").alias("pair"), "key", "cluster", "low", "high")
 
 
 def linked_components(sets: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
     """``(key, comp)`` for all ``sets``; linked ones share ``comp``."""
     met = scratch.save(meetings(sets, parts))
     sketches = scratch.save(sketched(sets))
-    often = connected_components(met.where(F.col("times") >= MEETINGS).toDF("src", "dst", "times"))
+    often = connected_components(
+        met.where(F.col("times") >= MEETINGS).select(F.col("a").alias("src"), F.col("b").alias("dst")))
     labels = scratch.save(sets.select("key").join(often.toDF("key", "root"), "key", "left").select(
         "key", F.coalesce("root", "key").alias("cluster"), F.col("key").alias("comp")))
 
@@ -548,7 +572,7 @@ def linked_components(sets: DataFrame, parts: int, scratch: Scratch) -> DataFram
         scratch), scratch)
 
     # Members of different clusters that share a bucket.
-    mixed = scratch.save(mixed_buckets(sets, met, labels))
+    mixed = scratch.save(mixed_buckets(sets, met, labels, scratch))
     rows = mixed.join(labels.select("key", "comp"), "key")
     links = block_links(rows.where("cluster < high").select(*columns),
                         rows.where("cluster > low").select(*columns), sets, sketches, parts, scratch)
@@ -569,7 +593,7 @@ def jaccard_components(docs: DataFrame, width: int = 5) -> DataFrame:
         shingle_classes(docs, width), shingles=F.coalesce(F.sum("n_shingles"), F.lit(0)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, -(-int(seen["shingles"]) // BUCKET_SHINGLES))
-    candidates = scratch.save(shared_sets(docs, buckets, parts, width))
+    candidates = shared_sets(docs, buckets, parts, scratch, width)
     labels = linked_components(candidates, parts, scratch)
     classes = sets.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("first"))
     named = scratch.save(classes.join(labels.toDF("set_key", "comp"), "set_key", "left").select(
