@@ -192,9 +192,10 @@ def _planted(spark, sf_dir):
     return Scratch(spark, "planted").save(a.nation_network(spark, sf_dir))
 
 
-def _detected(spark, sf_dir, name: str):
-    """Communities of the planted network, named by their smallest member."""
-    found = Scratch(spark, name).save(DETECTORS[name](_planted(spark, sf_dir)))
+def _detected(spark, sf_dir, name: str, links=None):
+    """Communities of the planted network, or of ``links``, named by their smallest member."""
+    links = _planted(spark, sf_dir) if links is None else links
+    found = Scratch(spark, name).save(DETECTORS[name](links))
     names = found.groupBy("community").agg(F.min("id").alias("name"))
     return found.join(names, "community").select("id", F.col("name").alias("community"))
 
@@ -206,7 +207,20 @@ def louvain_communities(spark, sf_dir):
 
 @query("label_propagation", NATIONS_SQL)
 def label_propagation_communities(spark, sf_dir):
-    return _detected(spark, sf_dir, "label_propagation")
+    links = Scratch(spark, "planted").save(a.anchored_network(spark, sf_dir))
+    return _detected(spark, sf_dir, "label_propagation", links)
+
+
+@query("label_propagation_co_citation")
+def label_propagation_of_parts(spark, sf_dir):
+    """Labels of the whole co-citation network."""
+    return _detected(spark, sf_dir, "label_propagation", co_citation_links(spark, sf_dir))
+
+
+@query("leading_eigenvector_co_citation")
+def leading_eigenvector_of_parts(spark, sf_dir):
+    """Splits of the whole co-citation network."""
+    return _detected(spark, sf_dir, "leading_eigenvector", co_citation_links(spark, sf_dir))
 
 
 @query("leading_eigenvector_communities")
@@ -226,8 +240,9 @@ def walktrap_communities(spark, sf_dir):
 
 @query("compare_modularity")
 def compare_modularity(spark, sf_dir):
-    found = {name: _detected(spark, sf_dir, name) for name in DETECTORS}
-    rows = metrics.compare_modularity(_planted(spark, sf_dir), found)
+    links = _planted(spark, sf_dir)
+    found = {name: _detected(spark, sf_dir, name, links) for name in DETECTORS}
+    rows = metrics.compare_modularity(links, found)
     return rows.withColumn("modularity", F.round("modularity", 6))
 
 

@@ -210,6 +210,23 @@ def nation_network(spark, sf_dir) -> DataFrame:
     return _ring(rows, "nation", ["nation", "h"], NEAR)
 
 
+#: What the link of a customer to its nation's first one weighs; its other links weigh less together.
+ANCHOR = 100.0
+
+
+def anchored_network(spark, sf_dir) -> DataFrame:
+    """The nation network with a heavy link of every customer to the first one of its nation.
+
+    Whatever way labels spread, every customer ends with that of its anchor, so the nations are the
+    only labelling that no vertex leaves.
+    """
+    rows = _placed_customers(spark, sf_dir)
+    first = rows.groupBy("nation").agg(F.min("id").alias("dst"))
+    return nation_network(spark, sf_dir).unionAll(
+        rows.join(first, "nation").where("id <> dst").select(
+            F.col("id").alias("src"), "dst", F.lit(ANCHOR).alias("weight")))
+
+
 def region_network(spark, sf_dir) -> DataFrame:
     """Planted hierarchy: links inside nations and, more widely, inside regions."""
     rows = _placed_customers(spark, sf_dir)
