@@ -16,6 +16,7 @@ from citegraph.operators.graph.leading_eigenvector import leading_eigenvector
 from citegraph.operators.graph.louvain import louvain, nested_louvain
 from citegraph.operators.graph.walktrap import walktrap
 from citegraph.plans import adapters as a
+from citegraph.plans import reports
 from citegraph.plans.adapters import table, with_views
 from citegraph.scratch import Scratch
 
@@ -246,9 +247,14 @@ def compare_modularity(spark, sf_dir):
     return rows.withColumn("modularity", F.round("modularity", 6))
 
 
-@query("nested_louvain")
-def nested_clusters(spark, sf_dir):
-    """Regions and nations, each named by its smallest member."""
+# Regions and nations, named by their smallest member.
+NESTED_SQL = """
+    named AS (SELECT id AS ut, min(id) OVER (PARTITION BY region) AS macro_cluster,
+                     min(id) OVER (PARTITION BY nation) AS meso_cluster FROM placed_customers)"""
+
+
+def found_levels(spark, sf_dir):
+    """Customers with the macro and meso clusters found in their network, named as above."""
     links = Scratch(spark, "planted").save(a.region_network(spark, sf_dir))
     articles = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ut"))
     levels = ("macro_cluster", "meso_cluster")
@@ -257,3 +263,42 @@ def nested_clusters(spark, sf_dir):
         names = found.groupBy(level).agg(F.min("ut").alias("_name"))
         found = found.join(names, level).drop(level).withColumnRenamed("_name", level)
     return found.select("ut", *levels)
+
+
+@query("nested_louvain", with_views(
+    "placed_customers", f"WITH {NESTED_SQL} SELECT ut, macro_cluster, meso_cluster FROM named"))
+def nested_clusters(spark, sf_dir):
+    """Regions and nations, each named by its smallest member."""
+    return found_levels(spark, sf_dir)
+
+
+def _found_impact_sql() -> str:
+    names = {"twitter": "tweets", "news": "news", "policy": "policy", "total": "all_indicators"}
+    sums = ", ".join(f"CAST(sum({c}) AS BIGINT) AS n_{n}, avg({c}) AS avg_{n}" for c, n in names.items())
+    levels, rows = [], []
+    for level in ("macro_cluster", "meso_cluster"):
+        scores = ", ".join(
+            f"n_{n}, round(avg_{n}, 6) AS avg_{n}, round((avg_{n} - (SELECT avg(avg_{n}) FROM {level}_g))"
+            f" / (SELECT stddev_samp(avg_{n}) FROM {level}_g), 6) AS z_{n}" for n in names.values())
+        levels.append(f"{level}_g AS (SELECT {level} AS cluster, count(*) AS n_articles, {sums}"
+                      f" FROM scored GROUP BY {level})")
+        rows.append(f"SELECT '{level}' AS level, cluster, n_articles, {scores} FROM {level}_g")
+    return with_views("placed_customers attention", f"""WITH {NESTED_SQL},
+      scored AS (SELECT n.*, twitter, news, policy, total FROM named n JOIN attention t ON t.ut = n.ut
+                 WHERE total IS NOT NULL),
+      {", ".join(levels)} {" UNION ALL ".join(rows)}""")
+
+
+@query("impact_of_found_clusters", _found_impact_sql())
+def impact_of_found_clusters(spark, sf_dir):
+    """Network, nested communities and their impact, in one chain."""
+    papers = Scratch(spark, "levels").save(found_levels(spark, sf_dir))
+    scored = Scratch(spark, "scored").save(
+        reports.scored_papers(papers, a.attention(spark, sf_dir), noise=()))
+    rows = None
+    for level in ("macro_cluster", "meso_cluster"):
+        impact = reports.impact_by_cluster(scored, level).withColumnRenamed(level, "cluster")
+        part = impact.select(F.lit(level).alias("level"), *impact.columns)
+        rows = part if rows is None else rows.unionByName(part)
+    doubles = [c for c, kind in rows.dtypes if kind == "double"]
+    return rows.withColumns({c: F.round(c, 6) for c in doubles})

@@ -178,9 +178,9 @@ def vector_labels(spark, sf_dir) -> DataFrame:
     )
 
 
-#: How far on in its order a customer is linked within its nation, or within its region.
+#: What links between communities weigh, and how far on in its order a customer is linked.
 BRIDGE = 0.05
-NEAR, WIDE = (1, 2, 3, 5, 8, 13, 21, 34, 4, 7, 11, 18), (1, 2, 3, 5, 8, 13, 21, 34, 55, 89)
+NEAR = (1, 2, 3, 5, 8, 13, 21, 34, 4, 7, 11, 18)
 
 
 def _ring(customers: DataFrame, group: str, order: list, offsets) -> DataFrame:
@@ -227,11 +227,22 @@ def anchored_network(spark, sf_dir) -> DataFrame:
             F.col("id").alias("src"), "dst", F.lit(ANCHOR).alias("weight")))
 
 
+#: Weights of a customer's links to the first one of its nation, and of the others of its region:
+#: nations are the best communities of a region, and regions those of the whole.
+OWN, OTHER = 8.5, 1.0
+
+
 def region_network(spark, sf_dir) -> DataFrame:
-    """Planted hierarchy: links inside nations and, more widely, inside regions."""
+    """Planted hierarchy: every customer is linked to the first customer of each nation of its
+    region, most to its own; neighbouring regions are linked lightly."""
     rows = _placed_customers(spark, sf_dir)
-    return _ring(rows, "nation", ["region", "nation", "h"], NEAR).unionAll(
-        _ring(rows, "region", ["region", "h"], WIDE))
+    first = rows.groupBy("region", F.col("nation").alias("to")).agg(F.min("id").alias("dst"))
+    links = rows.join(first, "region").where("id <> dst").select(
+        F.col("id").alias("src"), "dst",
+        F.when(F.col("nation") == F.col("to"), OWN).otherwise(OTHER).alias("weight"))
+    ends = rows.groupBy("region").agg(F.min("id").alias("src"))
+    following = ends.select((F.col("region") - 1).alias("region"), F.col("src").alias("dst"))
+    return links.unionAll(ends.join(following, "region").select("src", "dst", F.lit(BRIDGE).alias("weight")))
 
 
 WORD = fixed.WORD_PATTERN.replace("'", "''")
