@@ -1,6 +1,11 @@
 import random
+import struct
+import zlib
 
+import public_tokenizers
 import pytest
+from test_jaccard import brute_force
+from tokenizers import Tokenizer
 
 import corpus_pipeline as P
 from citegraph.llm import importance, packing
@@ -50,6 +55,25 @@ def test_stages(spark, folder):
     assert near.count(3) == 1 and {600, 601} <= set(near)
     assert set(range(120)) <= set(clean) and not [d for d in clean if 400 <= d < 500]
     assert set(packed) == set(clean)
+    kept = {name: [(r["doc_id"], r["text"]) for r in
+                   spark.read.parquet(f"{folder}/{name}").select("doc_id", "text").collect()]
+            for name, _ in P.STAGES[:4]}
+    # Near duplicates: the smallest id of each component by comparing all pairs, and texts without words.
+    compared = brute_force(kept["line dedup"])
+    expected = {c for _, n, c in compared if n} | {d for d, n, _ in compared if not n}
+    assert near == sorted(expected)
+    # Decontamination: texts without the item in them.
+    held = kept["n-gram Jaccard join"]
+    assert clean == sorted(d for d, t in held if ITEM not in (t or ""))
+    # Packing: the tokenizer's ids of every text, cut from the end.
+    tokenizer, pieces = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), []
+    for doc_id, text in kept["benchmark decontamination"]:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        edges = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
+        pieces += [(doc_id, lo, hi - lo, zlib.crc32(struct.pack(f"<{hi - lo}I", *ids[lo:hi])))
+                   for lo, hi in zip(edges, edges[1:])]
+    found = docs.select("doc_id", "start", "length", "ids_crc32").collect()
+    assert sorted(map(tuple, found)) == sorted(pieces)
 
 
 def test_run_is_the_stages(spark, folder):
@@ -62,5 +86,5 @@ def test_run_is_the_stages(spark, folder):
 
 def test_no_documents(spark, folder, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id > 9999")
-    for _, stage in P.STAGES[:4]:
+    for _, stage in P.STAGES:
         assert stage(spark, docs, folder).count() == 0
