@@ -79,7 +79,7 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: SQL has neither the tokenizer nor the resampling; tests compare the stages with plain code.
+#: SQL has neither the tokenizer nor the resampling; tests compare the last three stages with plain code.
 ORACLE_SQL = None
 
 
