@@ -5,9 +5,11 @@ An undirected pair is stored once with ``dst > src``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from citegraph.scratch import Scratch
+
 BLOCK_ROWS = 4096
 UNDIRECTED = "undirected"
 
@@ -125,19 +127,67 @@ def keyword_cooccurrence(keywords: DataFrame, block_rows: int = BLOCK_ROWS) -> D
     return _count_pairs(rows, "ut", "keyword", block_rows)
 
 
+def similarity_candidates(tfidf: DataFrame, min_weight: float, doc: str = "ut", term: str = "word",
+                          block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Pairs ``(src, dst)`` of documents that may reach ``min_weight``, each once; none is missed.
+
+    The words of a document are ordered from rare to common.  Its last words are
+    left out as long as they could not add up to ``min_weight``, whatever the other
+    document: each counts with its own score and the highest any document gives it.
+    The first word that a pair shares is then among the kept ones of both.  Of a
+    pair, the document with the higher top score may assume that the other scores
+    no word higher than that, which keeps few words of long texts.  Scores must
+    not be negative.  Words of more than ``block_rows`` documents meet block
+    against block, as in ``pairs_sharing``.
+    """
+    rows = tfidf.where(F.col(doc).isNotNull() & F.col("tf_idf").isNotNull()).select(
+        F.col(doc).alias("_doc"), F.col(term).alias("_word"), F.col("tf_idf").alias("_own"))
+    words = rows.groupBy("_word").agg(F.count(F.lit(1)).alias("_n"), F.max("_own").alias("_max"))
+    texts = rows.groupBy("_doc").agg(F.max("_own").alias("_top"))
+    common_first = Window.partitionBy("_doc").orderBy(F.col("_n").desc(), F.col("_word").desc())
+    so_far = common_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    enough = min_weight * (1 - 1e-9)
+    any_other = F.sum((F.col("_own") + F.col("_max")) / 2).over(so_far)
+    lower_other = F.sum((F.col("_own") + F.least("_max", "_top")) / 2).over(so_far)
+    blocks = F.ceil(F.col("_n") / block_rows).cast("int")
+    kept = (
+        rows.join(words, "_word").join(texts, "_doc")
+        .withColumn("_any", any_other).withColumn("_lower", lower_other)
+        .where(F.col("_any") >= enough)
+        .select("_doc", "_word", "_top", (F.col("_lower") >= enough).alias("_leads"), blocks.alias("_blocks"),
+                F.pmod(F.xxhash64("_doc"), blocks).cast("int").alias("_block"))
+    )
+    each = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    one = kept.where("_leads").select(
+        "_word", F.col("_block").alias("_i"), each.alias("_j"), F.struct("_top", "_doc").alias("_a"))
+    two = kept.select(
+        "_word", each.alias("_i"), F.col("_block").alias("_j"), F.struct("_top", "_doc").alias("_b"))
+    met = one.join(two, ["_word", "_i", "_j"]).where(F.col("_a") > F.col("_b"))
+    ends = F.col("_a._doc"), F.col("_b._doc")
+    return met.select(F.least(*ends).alias("src"), F.greatest(*ends).alias("dst")).distinct()
+
+
 def text_similarity_network(tfidf: DataFrame, doc: str = "ut", term: str = "word",
                             min_weight: float | None = None,
                             block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Sum over shared words of the mean of both tf-idf values; both directions kept.
 
-    Each unordered pair is summed once and mirrored afterwards.
+    Each unordered pair is summed once and mirrored afterwards.  With a positive
+    ``min_weight`` only pairs that may reach it are formed; scores must not be
+    negative then.
     """
+    if min_weight is not None and min_weight > 0:
+        scores = Scratch(tfidf.sparkSession, "similarity").save(tfidf.select(doc, term, "tf_idf"))
+        met = similarity_candidates(scores, min_weight, doc, term, block_rows)
+        one = scores.select(F.col(doc).alias("src"), F.col(term).alias("_word"),
+                            F.col("tf_idf").alias("src_x"))
+        two = scores.select(F.col(doc).alias("dst"), F.col(term).alias("_word"),
+                            F.col("tf_idf").alias("dst_x"))
+        shared = met.join(one, "src").join(two, ["dst", "_word"])
+    else:
+        shared = pairs_sharing(tfidf, term, doc, carry="tf_idf", block_rows=block_rows)
     half = (F.col("src_x") + F.col("dst_x")) / 2
-    once = (
-        pairs_sharing(tfidf, term, doc, carry="tf_idf", block_rows=block_rows)
-        .groupBy("src", "dst")
-        .agg(F.sum(half).alias("weight"))
-    )
+    once = shared.groupBy("src", "dst").agg(F.sum(half).alias("weight"))
     if min_weight is not None:
         once = once.where(F.col("weight") >= min_weight)
     return both_directions(once).withColumn("type", F.lit(UNDIRECTED))

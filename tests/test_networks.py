@@ -1,4 +1,5 @@
 import itertools
+import random
 from collections import Counter
 
 import pytest
@@ -97,6 +98,47 @@ def test_keywords_and_similarity(spark, rows):
         (1, 2, 0.8), (2, 1, 0.8)}
 
 
+def word_scores(seed):
+    """Scores with common and rare words, texts of one word and of many, ties and repeated texts."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(40)]
+    texts = [rng.sample(words[:6], rng.randint(1, 3)) + rng.sample(words, rng.choice((0, 1, 4, 15)))
+             for _ in range(60)]
+    found = {(i, w): rng.choice((0.0, 0.05, 0.1, 0.25, 0.6)) / rng.choice((1, 1, 3))
+             for i, text in enumerate(texts) for w in text}
+    found |= {(i + 1000, w): x for (i, w), x in found.items() if i < 5}
+    return found
+
+
+@pytest.mark.parametrize("seed, min_weight, block_rows", [(1, 0.501, 4096), (2, 0.301, 3), (3, 0.901, 1), (4, 0.0, 7)])
+def test_similarity_against_all_pairs(spark, seed, min_weight, block_rows):
+    scores = word_scores(seed)
+    expected = {}
+    for (a, w), x in scores.items():
+        for (b, v), y in scores.items():
+            if w == v and a != b:
+                expected[a, b] = expected.get((a, b), 0) + (x + y) / 2
+    table = spark.createDataFrame([(i, w, x) for (i, w), x in scores.items()],
+                                  "ut long, word string, tf_idf double")
+    got = net.text_similarity_network(table, min_weight=min_weight, block_rows=block_rows).collect()
+    assert len({(r.src, r.dst) for r in got}) == len(got)
+    assert {(r.src, r.dst): r.weight for r in got} == pytest.approx(
+        {pair: w for pair, w in expected.items() if w >= min_weight - 1e-12})
+
+
+def test_candidates_of_long_texts_are_few(spark):
+    """Common words of long texts form no pairs beside a text of one heavy word."""
+    texts = [(i, f"common{j}", 0.01) for i in range(50) for j in range(10)]
+    texts += [(i, f"own{i // 2}", 0.45) for i in range(50)] + [(99, "common0", 4.0)]
+    table = spark.createDataFrame(texts, "ut long, word string, tf_idf double")
+    met = net.similarity_candidates(table, 0.5)
+    assert met.count() == 25 + 50
+    no_rows = table.limit(0)
+    assert net.text_similarity_network(no_rows, min_weight=0.5).count() == 0
+    unknown = spark.createDataFrame([(None, "own1", 1.0), (3, "own1", None), (7, None, 1.0)], table.schema)
+    assert net.similarity_candidates(table.unionByName(unknown), 0.5).count() >= 75
+
+
 def test_project_network(spark, rows):
     edges = spark.createDataFrame([(1, 2, 3), (2, 1, 3)], "src int, dst int, weight long")
     people = spark.createDataFrame([(1, "ann"), (2, "bob"), (2, "ann")], "id_art int, name string")
