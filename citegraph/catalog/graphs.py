@@ -163,6 +163,12 @@ def closeness(spark, sf_dir):
     return scores.withColumn("closeness", F.round("closeness", 9))
 
 
+@query("closeness_co_citation")
+def closeness_of_parts(spark, sf_dir):
+    """Closeness in the whole co-citation network, estimated."""
+    return metrics.estimated_closeness(co_citation_links(spark, sf_dir))
+
+
 @query("betweenness", with_views("part_keywords", f"""WITH {_paths_sql()},
     through AS (SELECT v.b AS id, sum(v.paths * w.paths / t.paths) AS score
       FROM paths v JOIN paths w ON w.a = v.b JOIN paths t ON t.a = v.a AND t.b = w.b
