@@ -70,13 +70,69 @@ def _links(citations: DataFrame) -> DataFrame:
     return citations.select("citing_ut", "cited_ut").distinct()
 
 
-def _count_pairs(rows: DataFrame, key: str, member: str, block_rows: int) -> DataFrame:
-    return (
-        pairs_sharing(rows, key, member, block_rows=block_rows)
-        .groupBy("src", "dst")
-        .agg(F.count(F.lit(1)).alias("weight"))
-        .withColumn("type", F.lit(UNDIRECTED))
+#: Keys of a hub's size whose pairs one task counts together.
+TILE_KEYS = 64
+
+
+def _listed_pairs(small: DataFrame, key: str, member: str) -> DataFrame:
+    """``(src, dst, weight)`` of keys whose members fit a list, a row per pair and key."""
+    listed = small.groupBy(key).agg(F.sort_array(F.collect_list(member)).alias("_all"))
+    at = listed.where(F.size("_all") > 1).select("_all", F.posexplode("_all").alias("_at", "src"))
+    later = F.slice("_all", F.col("_at") + 2, F.size("_all"))
+    return at.select("src", F.explode(later).alias("dst"), F.lit(1).cast("bigint").alias("weight"))
+
+
+def _hub_pairs(hubs: DataFrame, key: str, member: str, block_rows: int) -> DataFrame:
+    """``(src, dst, weight)`` of keys with ``_size`` members, more than ``block_rows``.
+
+    Keys of like size share a square grid over their members, so fine that no cell's
+    side holds much more than ``block_rows`` members of a key.  The members go to the cells of their row
+    and column; a cell forms its pairs of up to ``TILE_KEYS`` keys and counts them,
+    so what is shuffled is members times the side of the grid, not pairs.
+    """
+    power = F.ceil(F.log2(F.col("_size") / block_rows)).cast("int")
+    sized = hubs.select(F.col(key).alias("_key"), F.col(member).alias("_m"), power.alias("_power"))
+    keys = sized.select("_power", "_key").distinct().groupBy("_power").agg(
+        F.ceil(F.count(F.lit(1)) / TILE_KEYS).alias("_parts"))
+    side = F.pow(F.lit(2), F.col("_power")).cast("int")
+    # One row per power of two, so a few dozen at most.
+    placed = sized.join(F.broadcast(keys), "_power").select(
+        "_key", "_m", "_power", F.pmod(F.xxhash64("_key"), F.col("_parts")).alias("_part"),
+        F.pmod(F.xxhash64("_m"), side).cast("int").alias("_block"),
+        F.explode(F.sequence(F.lit(0), side - 1)).alias("_other"))
+    cell = ["_power", "_part", "_i", "_j"]
+    sent = placed.select(
+        "_key", "_m", "_power", "_part", F.least("_block", "_other").alias("_i"),
+        F.greatest("_block", "_other").alias("_j"), (F.col("_block") <= F.col("_other")).alias("_low"),
+    ).repartition(*cell)
+    # Grouped by the cell and more, so nothing below is shuffled again.
+    met = sent.groupBy(*cell, "_key").agg(
+        F.collect_list(F.when(F.col("_low"), F.col("_m"))).alias("_a"),
+        F.collect_list(F.when(~F.col("_low"), F.col("_m"))).alias("_b"))
+    pairs = (
+        met.select(*cell, F.explode("_a").alias("_x"),
+                   F.when(F.col("_i") == F.col("_j"), F.col("_a")).otherwise(F.col("_b")).alias("_b"))
+        .select(*cell, "_x", F.explode("_b").alias("_y"))
+        .where((F.col("_i") < F.col("_j")) | (F.col("_x") < F.col("_y")))
     )
+    return pairs.groupBy(*cell, F.least("_x", "_y").alias("src"), F.greatest("_x", "_y").alias("dst")).agg(
+        F.count(F.lit(1)).alias("weight")).select("src", "dst", "weight")
+
+
+def _count_pairs(rows: DataFrame, key: str, member: str, block_rows: int) -> DataFrame:
+    """Pairs of members with the number of keys they share, as ``A x A'`` of a sparse ``A``.
+
+    The members of a key come together in one row, so they travel once; pairs are
+    summed in the task that forms them before they are shuffled.  Hubs go through
+    the cells of a grid.  A missing key or member is in no pair.
+    """
+    rows = rows.select(key, member).where(F.col(key).isNotNull() & F.col(member).isNotNull())
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > block_rows)
+    small = rows.join(sizes, key, "left_anti")
+    hubs = rows.join(sizes, key)
+    formed = _listed_pairs(small, key, member).unionByName(_hub_pairs(hubs, key, member, block_rows))
+    return formed.groupBy("src", "dst").agg(F.sum("weight").alias("weight")).withColumn(
+        "type", F.lit(UNDIRECTED))
 
 
 def bibliographic_coupling(articles: DataFrame, citations: DataFrame,

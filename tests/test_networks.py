@@ -45,6 +45,20 @@ def test_coupling_keeps_a_hub_whole(spark):
     assert got.where("weight <> 1 or dst <= src").count() == 0
 
 
+@pytest.mark.parametrize("block_rows", [4, 7, 50])
+def test_hubs_that_share_members_are_counted_in_cells(spark, rows, block_rows):
+    rng = random.Random(block_rows)
+    names = [f"p{i}" for i in range(60)]
+    links = [(p, f"hub{h}") for h in range(70) for p in rng.sample(names, rng.randint(1, 1 + h // 2))]
+    expected = Counter()
+    for h in range(70):
+        expected.update(itertools.combinations(sorted(p for p, r in links if r == f"hub{h}"), 2))
+    citing = spark.createDataFrame([*links, (None, "hub1"), ("p1", None)], "citing_ut string, cited_ut string")
+    got = net.bibliographic_coupling(articles(spark, names), citing, block_rows)
+    assert rows(got, "src", "dst", "weight") == {(a, b, w) for (a, b), w in expected.items()}
+    assert got.count() == len(expected)
+
+
 def test_duplicated_citation_counts_once(spark, rows):
     twice = spark.createDataFrame(
         [("a", "x"), ("a", "x"), ("b", "x")], "citing_ut string, cited_ut string"
