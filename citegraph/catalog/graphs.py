@@ -182,6 +182,12 @@ def betweenness(spark, sf_dir):
     return scores.select("id", F.round("betweenness", 4).alias("betweenness"))
 
 
+@query("betweenness_co_citation")
+def betweenness_of_parts(spark, sf_dir):
+    """Betweenness in the whole co-citation network, estimated within one hundredth of all pairs."""
+    return metrics.sampled_betweenness(co_citation_links(spark, sf_dir))
+
+
 # --- communities -------------------------------------------------------------------
 
 DETECTORS = {
