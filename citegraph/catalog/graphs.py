@@ -18,7 +18,7 @@ from citegraph.operators.graph.leading_eigenvector import leading_eigenvector
 from citegraph.operators.graph.louvain import louvain, nested_louvain
 from citegraph.operators.graph.walktrap import walktrap
 from citegraph.plans import adapters as a
-from citegraph.plans import reports
+from citegraph.plans import maps, reports
 from citegraph.plans.adapters import table, with_views
 from citegraph.scratch import Scratch
 
@@ -319,3 +319,27 @@ def impact_of_found_clusters(spark, sf_dir):
         rows = part if rows is None else rows.unionByName(part)
     doubles = [c for c, kind in rows.dtypes if kind == "double"]
     return rows.withColumns({c: F.round(c, 6) for c in doubles})
+
+
+# --- one chain on a given network -------------------------------------------------------
+
+
+def part_map(spark, sf_dir):
+    """Membership, links of the levels and reports of the co-citation network of parts."""
+    tokens = a.part_keywords(spark, sf_dir).withColumnRenamed("keyword", "word")
+    return maps.network_map(
+        a.parts(spark, sf_dir).select("ut"), co_cited_parts(spark, sf_dir), tokens, a.attention(spark, sf_dir))
+
+
+@query("network_map")
+def network_map(spark, sf_dir):
+    """Three levels found in the co-citation network, each cluster with its words and impact."""
+    rows = part_map(spark, sf_dir)[2]
+    doubles = [c for c, kind in rows.dtypes if kind == "double"]
+    return rows.withColumns({c: F.round(c, 6) for c in doubles})
+
+
+@query("network_map_links")
+def network_map_links(spark, sf_dir):
+    """Links between and inside the clusters of the three levels."""
+    return part_map(spark, sf_dir)[1]
