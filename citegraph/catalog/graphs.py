@@ -270,11 +270,10 @@ NESTED_SQL = """
                      min(id) OVER (PARTITION BY nation) AS meso_cluster FROM placed_customers)"""
 
 
-def found_levels(spark, sf_dir):
-    """Customers with the macro and meso clusters found in their network, named as above."""
+def found_levels(spark, sf_dir, levels=("macro_cluster", "meso_cluster")):
+    """Customers with the clusters found in their network, named as above."""
     links = Scratch(spark, "planted").save(a.region_network(spark, sf_dir))
     articles = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ut"))
-    levels = ("macro_cluster", "meso_cluster")
     found = Scratch(spark, "nested").save(nested_louvain(articles, links, levels))
     for level in levels:
         names = found.groupBy(level).agg(F.min("ut").alias("_name"))
@@ -321,25 +320,82 @@ def impact_of_found_clusters(spark, sf_dir):
     return rows.withColumns({c: F.round(c, 6) for c in doubles})
 
 
-# --- one chain on a given network -------------------------------------------------------
+# --- one chain from a network to reports --------------------------------------------------
 
+MAP_LEVELS = ("macro_cluster", "meso_cluster")
 
-def part_map(spark, sf_dir):
-    """Membership, links of the levels and reports of the co-citation network of parts."""
-    tokens = a.part_keywords(spark, sf_dir).withColumnRenamed("keyword", "word")
-    return maps.network_map(
-        a.parts(spark, sf_dir).select("ut"), co_cited_parts(spark, sf_dir), tokens, a.attention(spark, sf_dir))
+MAP_SQL = f"""{NESTED_SQL},
+    levels AS (SELECT * FROM named),
+    first AS (SELECT region, nation, min(id) AS dst FROM placed_customers GROUP BY region, nation),
+    heads AS (SELECT region, min(id) AS id FROM placed_customers GROUP BY region),
+    net AS (
+      SELECT p.id AS src, f.dst, CAST(CASE WHEN p.nation = f.nation THEN {a.OWN} ELSE {a.OTHER} END AS DOUBLE) AS weight
+      FROM placed_customers p JOIN first f ON f.region = p.region WHERE p.id <> f.dst
+      UNION ALL SELECT x.id, y.id, CAST({a.BRIDGE} AS DOUBLE) FROM heads x JOIN heads y ON y.region = x.region + 1)"""
 
 
-@query("network_map")
+def _map_links_sql() -> str:
+    return " UNION ALL ".join(f"""
+      SELECT '{level}' AS level, least(x.{level}, y.{level}) AS src, greatest(x.{level}, y.{level}) AS dst,
+             sum(weight) AS weight
+      FROM net JOIN levels x ON x.ut = net.src JOIN levels y ON y.ut = net.dst GROUP BY ALL"""
+                             for level in MAP_LEVELS)
+
+
+def _map_sql() -> str:
+    names = {"twitter": "tweets", "news": "news", "policy": "policy", "total": "all_indicators"}
+    tables, rows = [], []
+    for level, parent in zip(MAP_LEVELS, ("CAST(NULL AS BIGINT)", *MAP_LEVELS)):
+        v = level[:2] + level[3]
+        sums = ", ".join(f"CAST(sum({c}) AS BIGINT) AS n_{n}, avg({c}) AS avg_{n}" for c, n in names.items())
+        scores = ", ".join(
+            f"n_{n}, round(avg_{n}, 6) AS avg_{n}, round((avg_{n} - (SELECT avg(avg_{n}) FROM {v}_g))"
+            f" / (SELECT stddev_samp(avg_{n}) FROM {v}_g), 6) AS z_{n}" for n in names.values())
+        tables.append(f"""
+    {v}_n AS (SELECT {level} AS c, word, count(*) AS n FROM tokens JOIN levels USING (ut) GROUP BY ALL),
+    {v}_t AS (SELECT c, word, n, (n / sum(n) OVER (PARTITION BY c))
+        * ln((SELECT count(DISTINCT c) FROM {v}_n) / count(*) OVER (PARTITION BY word)) AS x FROM {v}_n),
+    {v}_k AS (SELECT *, rank() OVER (PARTITION BY c ORDER BY x DESC) AS rk FROM {v}_t),
+    {v}_w AS (SELECT c, string_agg(word, ', ' ORDER BY n DESC, word) AS words FROM {v}_k WHERE rk <= 10 GROUP BY c),
+    {v}_p AS (SELECT {level} AS c, count(DISTINCT ut) AS npapers FROM tokens JOIN levels USING (ut) GROUP BY ALL),
+    {v}_s AS (SELECT {level} AS c, min({parent}) AS parent, count(*) AS n_members FROM levels GROUP BY ALL),
+    {v}_g AS (SELECT {level} AS c, count(*) AS n_articles, {sums}
+      FROM levels JOIN attention USING (ut) GROUP BY ALL),
+    {v}_i AS (SELECT c, sum(CASE WHEN src = dst THEN weight ELSE 0 END) AS inside,
+        sum(CASE WHEN src = dst THEN 0 ELSE weight END) AS outside
+      FROM {v}_s JOIN map_links l ON l.level = '{level}' AND c IN (src, dst) GROUP BY c)""")
+        rows.append(f"""
+    SELECT '{level}' AS level, c AS cluster, parent, n_members, npapers, words, n_articles, {scores},
+           round(inside, 6) AS inside, round(outside, 6) AS outside
+    FROM {v}_s LEFT JOIN {v}_w USING (c) LEFT JOIN {v}_p USING (c) LEFT JOIN {v}_g USING (c) LEFT JOIN {v}_i USING (c)""")
+    return f"""WITH {MAP_SQL}, map_links AS ({_map_links_sql()}),
+    tokens AS (SELECT o_custkey AS ut, strftime(o_orderdate, '%Y-%m-%d') AS word FROM orders),
+    {",".join(tables)} {" UNION ALL ".join(rows)}"""
+
+
+def customer_map(spark, sf_dir):
+    """Levels found in the network of customers, the links between them, and their reports; the
+    words of a customer are the days of its orders."""
+    tokens = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("ut"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("word"))
+    membership = Scratch(spark, "levels").save(found_levels(spark, sf_dir, MAP_LEVELS))
+    links = Scratch(spark, "level_links").save(maps.level_links(
+        a.region_network(spark, sf_dir), membership, MAP_LEVELS))
+    return links, maps.cluster_reports(membership, links, tokens, a.attention(spark, sf_dir), MAP_LEVELS)
+
+
+@query("network_map", with_views("placed_customers attention", _map_sql()))
 def network_map(spark, sf_dir):
-    """Three levels found in the co-citation network, each cluster with its words and impact."""
-    rows = part_map(spark, sf_dir)[2]
+    """Every cluster of two found levels with its parent, size, weights, words and impact."""
+    rows = customer_map(spark, sf_dir)[1]
     doubles = [c for c, kind in rows.dtypes if kind == "double"]
     return rows.withColumns({c: F.round(c, 6) for c in doubles})
 
 
-@query("network_map_links")
+@query("network_map_links", with_views(
+    "placed_customers", f"WITH {MAP_SQL} SELECT level, src, dst, round(weight, 6) AS weight FROM ({_map_links_sql()})"))
 def network_map_links(spark, sf_dir):
-    """Links between and inside the clusters of the three levels."""
-    return part_map(spark, sf_dir)[1]
+    """Weights between and inside the clusters of two found levels."""
+    levels = Scratch(spark, "levels").save(found_levels(spark, sf_dir, MAP_LEVELS))
+    rows = maps.level_links(a.region_network(spark, sf_dir), levels, MAP_LEVELS)
+    return rows.withColumn("weight", F.round("weight", 6))

@@ -56,9 +56,10 @@ def cluster_reports(membership: DataFrame, links: DataFrame, tokens: DataFrame,
         F.sum(F.when(~F.col("_in"), F.col("weight")).otherwise(0)).alias("outside"))
     parts = []
     for number, level in enumerate(levels):
+        kind = membership.schema[level].dataType
         parent = F.min(levels[number - 1]) if number else F.lit(None)
         sizes = membership.where(F.col(level).isNotNull()).groupBy(level).agg(
-            parent.cast("int").alias("parent"), F.count(F.lit(1)).alias("n_members"))
+            parent.cast(kind).alias("parent"), F.count(F.lit(1)).alias("n_members"))
         words = reports.cluster_words(known, level).select(level, "npapers", "words")
         impact = reports.impact_by_cluster(scored, level, drop_null_cluster=True)
         parts.append(
