@@ -8,6 +8,7 @@ from citegraph.operators import text as t
 from citegraph.operators import topics as tp
 from citegraph.plans import corpus, reports
 from citegraph.sources.lexicons import stop_words
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 
@@ -127,3 +128,10 @@ def test_topic_model_tables(spark):
     assert wide.where("gamma <> greatest(gamma1, gamma2)").count() == 0
     with pytest.raises(ValueError):
         tp.doc_term_matrix(t.tf_idf(counts), max_vocabulary=2)
+
+
+def test_cells_of_a_paper_are_read_without_a_dense_row(spark, rows):
+    wide = 1 << 30
+    matrix = spark.createDataFrame(
+        [(1, Vectors.sparse(wide, [3, wide - 1], [2.0, 1.0])), (2, Vectors.sparse(wide, [], []))], ["ut", "features"])
+    assert rows(tp.cells_per_paper(matrix), "ut", "terms", "occurrences") == {(1, 2, 3), (2, 0, 0)}
