@@ -135,3 +135,21 @@ def test_cells_of_a_paper_are_read_without_a_dense_row(spark, rows):
     matrix = spark.createDataFrame(
         [(1, Vectors.sparse(wide, [3, wide - 1], [2.0, 1.0])), (2, Vectors.sparse(wide, [], []))], ["ut", "features"])
     assert rows(tp.cells_per_paper(matrix), "ut", "terms", "occurrences") == {(1, 2, 3), (2, 0, 0)}
+
+
+def test_topic_betas_build_no_list_on_the_driver(spark, rows, monkeypatch):
+    docs = [(i, w, 3) for i in range(12) for w in (("reef", "coral") if i % 2 else ("fin", "trade", "sea"))]
+    counts = spark.createDataFrame(docs, "ut int, word string, n long")
+    matrix, vocabulary = tp.doc_term_matrix(t.tf_idf(counts))
+    model = tp.topic_model(matrix, k=3, seed=1)
+    words = vocabulary.vocabulary
+    expected = {(r.topic + 1, words[i]): x for r in model.describeTopics(5).collect()
+                for i, x in zip(r.termIndices, r.termWeights)}
+
+    def refused(*_):
+        raise AssertionError("the topics are described on the driver")
+
+    monkeypatch.setattr(type(model), "describeTopics", refused)
+    monkeypatch.setattr(type(vocabulary), "vocabulary", property(refused))
+    got = {(a, b): x for a, b, x in rows(tp.topic_betas(model, vocabulary), "topic", "term", "beta")}
+    assert got == pytest.approx(expected)
