@@ -59,6 +59,31 @@ def test_hubs_that_share_members_are_counted_in_cells(spark, rows, block_rows):
     assert got.count() == len(expected)
 
 
+@pytest.mark.parametrize("task_pairs, heavy_keys, block_rows", [(1 << 20, 1000, 4096), (7, 3, 4096), (5, 2, 6), (1 << 20, 0, 3)])
+def test_pairs_are_the_same_for_every_share_of_the_work(spark, rows, task_pairs, heavy_keys, block_rows):
+    rng = random.Random(task_pairs)
+    names = [f"p{i:03d}" for i in range(200)]
+    links = {(rng.choice(names), f"r{rng.randrange(60)}") for _ in range(300)}
+    links |= {("p000", f"r{r}") for r in range(60)}
+    expected = Counter()
+    for ref in {r for _, r in links}:
+        expected.update(itertools.combinations(sorted(p for p, r in links if r == ref), 2))
+    table = spark.createDataFrame([*links, (None, "r1"), ("p1", None)], "member string, key string")
+    got = net._count_pairs(table, "key", "member", block_rows, task_pairs, heavy_keys)
+    assert rows(got, "src", "dst", "weight") == {(a, b, w) for (a, b), w in expected.items()}
+    assert got.count() == len(expected)
+
+
+def test_tasks_grow_with_the_pairs(spark):
+    """Pairs travel as lists, once, to as many tasks as they need."""
+    links = spark.range(3000).selectExpr("id as member", "id div 10 as key")
+    found = net._count_pairs(links, "key", "member", 4096, task_pairs=1000)
+    assert found.rdd.getNumPartitions() == 14  # 300 keys with 45 pairs
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1
+    assert found.count() == 13500
+
+
 def test_duplicated_citation_counts_once(spark, rows):
     twice = spark.createDataFrame(
         [("a", "x"), ("a", "x"), ("b", "x")], "citing_ut string, cited_ut string"
