@@ -178,6 +178,20 @@ def test_candidates_of_long_texts_are_few(spark):
     assert net.similarity_candidates(table.unionByName(unknown), 0.5).count() >= 75
 
 
+def test_links_with_names_travel_once(spark):
+    edges = spark.createDataFrame([(1, 2, 3), (2, 1, 3)], "src int, dst int, weight long")
+    people = spark.createDataFrame([(1, "ann"), (2, "bob")], "id_art int, name string")
+    for setting, value in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.enabled", "false")):
+        spark.conf.set(setting, value)
+    try:
+        plan = net.project_network(edges, people)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    # Links and people by source, links and people by target, pairs of names.
+    assert plan.count("Exchange hashpartitioning") == 5
+
+
 def test_project_network(spark, rows):
     edges = spark.createDataFrame([(1, 2, 3), (2, 1, 3)], "src int, dst int, weight long")
     people = spark.createDataFrame([(1, "ann"), (2, "bob"), (2, "ann")], "id_art int, name string")
