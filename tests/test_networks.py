@@ -165,6 +165,38 @@ def test_similarity_against_all_pairs(spark, seed, min_weight, block_rows):
         {pair: w for pair, w in expected.items() if w >= min_weight - 1e-12})
 
 
+@pytest.mark.parametrize("cell_rows, cell_words", [(2048, 2_000_000), (7, 2_000_000), (2048, 50)])
+def test_copies_are_one_class_and_lose_no_link(spark, cell_rows, cell_words):
+    """Links of representatives and copies give every pair back; sums are formed in cells of any size."""
+    scores = {(i, w): x for (i, w), x in word_scores(5).items() if i < 60}
+    scores |= {(i + 100 * k, w): x for (i, w), x in scores.items() if i < 20 for k in (1, 2, 3)}
+    table = spark.createDataFrame([(i, w, x) for (i, w), x in scores.items()] + [(None, "w1", 1.0), (7, None, 1.0)],
+                                  "ut long, word string, tf_idf double")
+    every = {(r.src, r.dst): r.weight for r in net.text_similarity_network(table, min_weight=0.3).collect()}
+    got = net.text_similarity_classes(table, 0.3).collect()
+    copies = {r.src: (r.dst, r.weight) for r in got if r.type == "copy"}
+    assert len(copies) == sum(r.type == "copy" for r in got) == len({i for i, _ in scores})
+    links = {(r.src, r.dst): r.weight for r in got if r.type != "copy"}
+    assert 0 < len(links) < len(every) / 4
+    assert {end for pair in links for end in pair} <= {least for least, _ in copies.values()}
+    links |= {(least, least): w for least, w in copies.values() if w >= 0.3}
+    assert every == pytest.approx({
+        (a, b): links[x, y] for a, (x, _) in copies.items() for b, (y, _) in copies.items()
+        if a != b and (x, y) in links})
+    pairs = net.similar_pairs(net.word_vectors(table), 0.3, cell_rows, cell_words).collect()
+    assert {(r.src, r.dst): r.weight for r in pairs} == pytest.approx({p: w for p, w in every.items() if p[0] < p[1]})
+
+
+def test_similarity_sends_no_pair_before_it_is_known(spark):
+    """Pairs below the weight are not formed as rows, and rows that repeat a word count as often."""
+    table = spark.createDataFrame([(i, w, 0.1) for i in range(50) for w in ("a", "b")] + [(50, "a", 0.3)] * 2,
+                                  "ut long, word string, tf_idf double")
+    got = {(r.src, r.dst): round(r.weight, 9) for r in net.text_similarity_network(table, min_weight=0.35).collect()}
+    assert got == {(a, b): 0.4 for i in range(50) for a, b in ((i, 50), (50, i))}
+    plan = net.similar_pairs(net.word_vectors(table), 0.35)._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Join" not in plan
+
+
 def test_candidates_of_long_texts_are_few(spark):
     """Common words of long texts form no pairs beside a text of one heavy word."""
     texts = [(i, f"common{j}", 0.01) for i in range(50) for j in range(10)]
