@@ -75,6 +75,17 @@ def test_stem_stop_words_drops_whole_families(spark, rows):
     assert rows(kept, "word", "stemmed") == {("reefs", "reef"), ("reef", "reef")}
 
 
+def test_frequent_words_are_dealt_over_tasks(spark):
+    tokens = spark.createDataFrame(
+        [(i % 50, "reefs") for i in range(300)] + [(1, "doing"), (2, "coral"), (2, "coral"), (3, None)],
+        "ut int, word string")
+    dealt = t.stem_stop_words(tokens, stop_words(spark, extra=()), word_tokens=40)
+    assert dealt.columns == ["word", "ut", "stemmed"]
+    got = sorted(tuple(r) for r in dealt.collect())
+    assert got == sorted([("reefs", i % 50, "reef") for i in range(300)] + [("coral", 2, "coral")] * 2)
+    assert "_piece" in next(line for line in dealt._jdf.queryExecution().simpleString().splitlines() if "Join" in line)
+
+
 def test_tf_idf_with_a_missing_cluster(spark):
     counts = spark.createDataFrame(
         [("a", "w", 2), ("a", "v", 2), ("b", "w", 1), (None, "w", 5), (None, "u", 1)],
