@@ -55,7 +55,8 @@ MEETINGS = 3
 LEADERS = 8
 #: Rows of a block on either side of a comparison.
 LEFT_BLOCK, RIGHT_BLOCK = 128, 64
-#: 64-bit words of the sketch that bounds a difference before sets are compared.
+#: 64-bit words, at least, of the sketch that bounds a difference before sets are compared; a power
+#: of two.
 SKETCH_WORDS = 16
 
 
@@ -153,14 +154,32 @@ def _exchange(blocks: DataFrame, parts: int) -> DataFrame:
     return blocks.repartitionById(parts, home).sortWithinPartitions("bucket")
 
 
-def shared_sets(docs: DataFrame, buckets: int, parts: int, scratch: Scratch,
+def row_key():
+    """Tells rows apart, by ``doc_id`` and ``text_key``."""
+    return F.xxhash64("doc_id", "text_key")
+
+
+def first_rows(sets: DataFrame, scratch: Scratch) -> np.ndarray:
+    """Filter with the ``row_key`` of one row of each class that has shingles."""
+    rows, seen = scratch.save_observed(
+        sets.where("n_shingles > 0").groupBy("set_key").agg(F.min(row_key()).alias("row_key")).select("row_key"),
+        many=F.count(F.lit(1)))
+    found = key_filter(rows, "row_key", int(seen["many"]))
+    scratch.drop(rows)
+    return found
+
+
+def shared_sets(docs: DataFrame, first: np.ndarray, buckets: int, parts: int, scratch: Scratch,
                 width: int = 5) -> DataFrame:
-    """``(key, n, shared)``: classes of which 80 % of the shingles occur in another class."""
+    """``(key, n, shared)``: classes of which 80 % of the shingles occur in another class.
+
+    Only rows in the filter ``first`` send their shingles, so copies in other tasks add nothing.
+    """
     passed, seen = scratch.save_observed(
-        _sharing(docs, None, buckets, parts, width, tried=0.3).select("key"), many=F.count(F.lit(1)))
+        _sharing(docs, first, None, buckets, parts, width, tried=0.3).select("key"), many=F.count(F.lit(1)))
     likely = key_filter(passed, "key", int(seen["many"]))
     scratch.drop(passed)
-    return scratch.save(_sharing(docs, likely, buckets, parts, width, tried=1.0))
+    return scratch.save(_sharing(docs, first, likely, buckets, parts, width, tried=1.0))
 
 
 def key_filter(table: DataFrame, column: str, many: int) -> np.ndarray:
@@ -196,8 +215,8 @@ def least_shared(size: int, tried: float) -> int:
     return tried_of(size, tried) - (alone if tried == 1.0 else max(alone, 1))
 
 
-def _sharing(docs: DataFrame, likely: np.ndarray | None, buckets: int, parts: int, width: int,
-             tried: float) -> DataFrame:
+def _sharing(docs: DataFrame, first: np.ndarray, likely: np.ndarray | None, buckets: int,
+             parts: int, width: int, tried: float) -> DataFrame:
     """Classes that share enough of their ``tried`` smallest hashes; with those, if all are tried."""
     def wanted(found: np.ndarray, key: int) -> np.ndarray:
         if likely is not None and not passes(likely, np.array([key], np.uint64))[0]:
@@ -215,7 +234,8 @@ def _sharing(docs: DataFrame, likely: np.ndarray | None, buckets: int, parts: in
             return _blocks(bucket, owner, np.array(keys, np.uint64), np.array(sizes), hashes)
 
         for batch in batches:
-            for words in T.row_words(batch.column(0)):
+            chosen = passes(first, batch.column(0).to_numpy().view(np.uint64))
+            for words in T.row_words(batch.column(1).filter(pa.array(chosen))):
                 found = T.shingle_set(words, width)
                 key = _key_of(found)
                 part = wanted(found, key)
@@ -267,7 +287,8 @@ def _sharing(docs: DataFrame, likely: np.ndarray | None, buckets: int, parts: in
             yield pa.record_batch([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()),
                                    pa.array(rows[2], pa.binary())], names=["key", "n", "shared"])
 
-    sent = docs.select(F.col("text").cast("string")).mapInArrow(send, _BLOCK)
+    sent = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), F.col("text").cast("string")).select(
+        row_key().alias("row_key"), "text").mapInArrow(send, _BLOCK)
     matched = _exchange(sent, parts).mapInArrow(match, _BLOCK)
     return _exchange(matched, parts).mapInArrow(gather, "key long, n long, shared binary")
 
@@ -382,6 +403,18 @@ class Components:
         self.root[max(a, b)] = min(a, b)
 
 
+def sketch_size(size: int) -> int:
+    """Words of the sketch of a set: a power of two, with more bits than shingles, as a fuller
+    sketch tells no two sets apart."""
+    return max(SKETCH_WORDS, 1 << (size // 64).bit_length())
+
+
+def folded(sketches: list[bytes], words: int) -> np.ndarray:
+    """Longer sketches as those of ``words`` words."""
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, words), axis=0)
+                     for s in sketches])
+
+
 def sketched(sets: DataFrame) -> DataFrame:
     """``(key, n, alone, sketch)``: the sketch of the shared shingles, and how many are not."""
     def sketch(batches):
@@ -391,7 +424,8 @@ def sketched(sets: DataFrame) -> DataFrame:
                 [batch.column(0), batch.column(1),
                  pa.array([n - len(f) for n, f in zip(batch.column(1).to_pylist(), found, strict=True)],
                           pa.int64()),
-                 pa.array([sketch_words(f, SKETCH_WORDS).tobytes() for f in found], pa.binary())],
+                 pa.array([sketch_words(f, sketch_size(n)).tobytes()
+                           for n, f in zip(batch.column(1).to_pylist(), found, strict=True)], pa.binary())],
                 names=["key", "n", "alone", "sketch"])
 
     return sets.select("key", "n", "shared").mapInArrow(
@@ -400,18 +434,23 @@ def sketched(sets: DataFrame) -> DataFrame:
 
 def near_rows(left: list[tuple], right: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     """Which rows ``(comp, n, alone, sketch)`` of either side may link with one of the other
-    side that is in another component."""
+    side that is in another component.  Two sketches are compared at the shorter's length."""
     sides = []
     for rows in (left, right):
         comps, sizes, alone = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2))
-        sketches = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(rows), -1)
-        sides.append((comps, sizes, alone, sketches))
-    (comp_l, size_l, alone_l, sketch_l), (comp_r, size_r, alone_r, sketch_r) = sides
+        sides.append((comps, sizes, alone, np.array([len(r[3]) // 8 for r in rows])))
+    (comp_l, size_l, alone_l, words_l), (comp_r, size_r, alone_r, words_r) = sides
     near = np.zeros((len(left), len(right)), bool)
-    for j in range(len(right)):
-        apart = np.bitwise_count(sketch_l ^ sketch_r[j]).sum(axis=1, dtype=np.int64)
-        near[:, j] = ((apart + alone_l + alone_r[j] <= (size_l + size_r[j]) // 9)
-                      & (comp_l != comp_r[j]))
+    for words in sorted({*words_l.tolist(), *words_r.tolist()}):
+        at, others = np.flatnonzero(words_l >= words), np.flatnonzero(words_r >= words)
+        if not (len(at) and len(others)):
+            continue
+        sketch_l, sketch_r = (folded([rows[k][3] for k in own.tolist()], words)
+                              for rows, own in ((left, at), (right, others)))
+        for j, sketch in zip(others.tolist(), sketch_r, strict=True):
+            apart = np.bitwise_count(sketch_l ^ sketch).sum(axis=1, dtype=np.int64)
+            least = np.maximum(apart + alone_l[at] + alone_r[j], np.abs(size_l[at] - size_r[j]))
+            near[at, j] = (least <= (size_l[at] + size_r[j]) // 9) & (comp_l[at] != comp_r[j])
     return near.any(axis=1), near.any(axis=0)
 
 
@@ -530,8 +569,8 @@ def mixed_buckets(sets: DataFrame, met: DataFrame, labels: DataFrame, scratch: S
         known = key_filter(names, "sig", int(seen["many"]))
     around = met.join(apart.select("a").distinct(), "a", "left_semi")
     keys = around.select(F.col("a").alias("key")).unionAll(around.select("b")).distinct()
-    found = scratch.save(signatures(
-        sets.join(keys, "key", "left_semi").join(of, "key"), "cluster", wanted=known))
+    # Few signatures pass the filter, so they meet their clusters, not the sets.
+    found = scratch.save(signatures(sets, wanted=known).join(keys.join(of, "key"), "key"))
     several = found.groupBy("sig").agg(
         F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high")
     return found.join(several, "sig").select(
@@ -593,7 +632,7 @@ def jaccard_components(docs: DataFrame, width: int = 5) -> DataFrame:
         shingle_classes(docs, width), shingles=F.coalesce(F.sum("n_shingles"), F.lit(0)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, -(-int(seen["shingles"]) // BUCKET_SHINGLES))
-    candidates = shared_sets(docs, buckets, parts, scratch, width)
+    candidates = shared_sets(docs, first_rows(sets, scratch), buckets, parts, scratch, width)
     labels = linked_components(candidates, parts, scratch)
     classes = sets.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("first"))
     named = scratch.save(classes.join(labels.toDF("set_key", "comp"), "set_key", "left").select(

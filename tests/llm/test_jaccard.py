@@ -1,9 +1,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from citegraph.llm import jaccard as J
+from citegraph.scratch import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -153,3 +155,27 @@ def test_edge_rows(spark):
         [(1, 4, 1), (1, 4, 1), (None, 4, 1), (2, 4, 1), (None, 0, None), (3, 1, 3)], key=str)
     empty = docs.where("doc_id > 99")
     assert J.jaccard_components(empty).count() == 0
+
+
+def test_copies_in_other_tasks_send_nothing(spark):
+    rows = [(k, "a b c d e f g") for k in range(40)] + [(50, "u v w x y z"), (51, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    first = J.first_rows(J.shingle_classes(docs), Scratch(spark, "first"))
+    keys = J.shingle_classes(docs).select("doc_id", J.row_key().alias("k")).toPandas()
+    sent = keys[J.passes(first, keys["k"].to_numpy().view("uint64"))]["doc_id"].tolist()
+    assert 50 in sent and 2 <= len(sent) < 10
+
+
+def test_sketches_tell_large_sets_apart():
+    rng = np.random.default_rng(3)
+    large, other = (rng.integers(1, 1 << 47, 4000).astype(np.uint64) for _ in range(2))
+    close, small = np.concatenate([large[:3700], other[:300]]), large[:3300]
+
+    def row(comp, s):
+        return comp, len(s), 0, J.sketch_words(s, J.sketch_size(len(s))).tobytes()
+
+    rows = [row(1, large), row(2, other)]
+    left, right = J.near_rows(rows, [row(3, close), row(4, small[:900])])
+    assert left.tolist() == [True, False] and right.tolist() == [True, False]
+    for words in (16, 32):
+        assert (J.folded([rows[0][3]], words)[0] == J.sketch_words(large, words)).all()
