@@ -86,6 +86,32 @@ def test_frequent_words_are_dealt_over_tasks(spark):
     assert "_piece" in next(line for line in dealt._jdf.queryExecution().simpleString().splitlines() if "Join" in line)
 
 
+def test_tf_idf_of_many_documents_sorts_no_counts(spark):
+    """Also with a missing document and word, and rows that repeat."""
+    rows = [(i % 40, f"w{i % 7}", i % 5 + 1) for i in range(200)] + [(None, "w1", 2), (None, "w1", 2), (3, None, 4)]
+    counts = spark.createDataFrame(rows, "ut int, word string, n int")
+    few, many = t.tf_idf(counts), t.tf_idf(counts, many_docs=10)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = many._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan
+        assert few._jdf.queryExecution().sparkPlan().toString().count("ShuffledHashJoin") == 1
+        got, same = (sorted(map(repr, df.collect())) for df in (many, few))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == same and len(got) == 202
+    totals, holders = {}, {}
+    for ut, word, n in rows:
+        totals[ut] = totals.get(ut, 0) + n
+        holders[word] = holders.get(word, 0) + 1
+    for r in many.collect():
+        if r.ut is None:
+            assert r.tf_idf is None
+        else:
+            assert r.tf_idf == pytest.approx(r.n / totals[r.ut] * math.log(40 / holders[r.word]))
+
+
 def test_tf_idf_with_a_missing_cluster(spark):
     counts = spark.createDataFrame(
         [("a", "w", 2), ("a", "v", 2), ("b", "w", 1), (None, "w", 5), (None, "u", 1)],
