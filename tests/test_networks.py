@@ -228,3 +228,33 @@ def test_project_network(spark, rows):
     edges = spark.createDataFrame([(1, 2, 3), (2, 1, 3)], "src int, dst int, weight long")
     people = spark.createDataFrame([(1, "ann"), (2, "bob"), (2, "ann")], "id_art int, name string")
     assert rows(net.project_network(edges, people), "src", "dst", "weight") == {("ann", "bob", 3)}
+
+
+@pytest.mark.parametrize("name", ["text_similarity_network", "similar_documents"])
+def test_copies_keep_all_their_pairs(spark, tmp_path, name):
+    """Every two documents that reach the weight are a row each way, equal ones too."""
+    import __spark_entry__ as registered
+
+    texts = ["alpha beta", "alpha beta", "alpha beta", "gamma delta", "gamma epsilon", "zeta"]
+    spark.createDataFrame([(i, x, f"b{x[0]}", f"t{x[-1]}") for i, x in enumerate(texts)],
+                          "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(i, x, "en", "s") for i, x in enumerate(texts)],
+                          "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registered.queries()[name](spark, str(tmp_path)).collect()
+    assert {(r.src, r.dst) for r in got if r.src < 3} == {(a, b) for a in range(3) for b in range(3) if a != b}
+    assert {r.type for r in got} == {"undirected"}
+
+
+def test_similarity_writes_every_document_once(spark, tmp_path):
+    """What lies on disk does not grow with the cells that a document meets."""
+    table = spark.createDataFrame([(i, f"word{i % 7}", 0.3) for i in range(400)], "ut long, word string, tf_idf double")
+    vectors = net.word_vectors(table).cache()
+    written = []
+    keep = net.Scratch.write_by
+    net.Scratch.write_by = lambda self, df, *args: written.append(df.count()) or keep(self, df, *args)
+    try:
+        pairs = net.similar_pairs(vectors, 0.3, cell_rows=20)
+    finally:
+        net.Scratch.write_by = keep
+    assert written == [400]
+    assert pairs.count() == sum(n * (n - 1) // 2 for n in (len(range(k, 400, 7)) for k in range(7)))
