@@ -106,3 +106,35 @@ def test_reports_against_sql_given_the_membership(mapped):
         parents[r.parent].add(r.cluster)
     assert set(parents) == set(found[found.level == "macro_cluster"].cluster)
     assert seen == len(found)
+
+
+def test_map_queries_go_down_to_the_third_level(spark, tmp_path):
+    """Macro, meso and micro clusters are found, linked and reported, as their SQL says."""
+    import __spark_entry__ as registered
+    import crosscheck
+
+    rng = random.Random(3)
+    tables = {
+        "nation": ([(n, n // 5) for n in range(25)], "n_nationkey int, n_regionkey int"),
+        "customer": ([(c, rng.randrange(25)) for c in range(1, 501)], "c_custkey long, c_nationkey int"),
+        "events": ([(rng.randint(1, 500), rng.choice(("view", "click", "purchase"))) for _ in range(900)],
+                   "user_id long, event_type string"),
+    }
+    for name, (found, kinds) in tables.items():
+        spark.createDataFrame(found, kinds).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.createDataFrame([(rng.randint(1, 500), f"1995-01-{rng.randint(1, 28):02d}") for _ in range(1200)],
+                          "o_custkey long, d string").selectExpr("o_custkey", "CAST(d AS DATE) AS o_orderdate").write.parquet(
+        f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    for name in ("nation", "customer", "events", "orders"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    for name, clusters in (("network_map", {"macro_cluster": 5, "meso_cluster": 25, "micro_cluster": 25}),
+                           ("network_map_links", None)):
+        df = registered.queries()[name](spark, str(tmp_path))
+        got = df.collect()
+        assert {r.level for r in got} == set(maps.LEVELS)
+        if clusters:
+            assert Counter(r.level for r in got) == clusters
+        expected = con.execute(registered.oracle_sql()[name])
+        columns = [d[0] for d in expected.description]
+        assert crosscheck.rows_of(df.columns, got) == crosscheck.rows_of(columns, expected.fetchall())
