@@ -258,3 +258,20 @@ def test_similarity_writes_every_document_once(spark, tmp_path):
         net.Scratch.write_by = keep
     assert written == [400]
     assert pairs.count() == sum(n * (n - 1) // 2 for n in (len(range(k, 400, 7)) for k in range(7)))
+
+
+def test_projection_sends_one_direction_and_counts_both(spark, rows):
+    """Papers with several names, shared names and loops give what both directions gave."""
+    rng = random.Random(3)
+    once = [(a, b, rng.randint(1, 4)) for a in range(12) for b in range(a, 12) if rng.random() < 0.5]
+    names = {(p, rng.choice("abcdef")) for p in range(12) for _ in range(rng.randint(0, 3))}
+    expected = {}
+    for src, dst, weight in [r for a, b, w in once for r in ((a, b, w), (b, a, w))]:
+        for p, one in names:
+            for q, two in names:
+                if p == src and q == dst and two > one:
+                    expected[one, two] = expected.get((one, two), 0) + weight
+    both = net.both_directions(spark.createDataFrame(once, "src int, dst int, weight long"))
+    found = net.project_network(both, spark.createDataFrame(list(names), "id_art int, name string"))
+    assert rows(found, "src", "dst", "weight") == {(*k, w) for k, w in expected.items()}
+    assert "<= dst#" in found._jdf.queryExecution().analyzed().toString()
